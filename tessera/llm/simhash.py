@@ -46,16 +46,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): one row per row of ``docs``, fp being the fingerprint's bits as a signed long."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
+    """(id, fp, and ``carry`` columns of longs): one row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
+    carry = carry or []
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *carry])
 
-    return slim.mapInArrow(run, "id long, fp long")
+    return slim.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", "fp", *carry)))
 
 
 def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -175,6 +176,18 @@ def near_links(prints: DataFrame, budget: int = BUDGET, node_limit: int = NODE_L
     return units.mapInArrow(run, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
 
+def components(prints: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(fp, root, component_id) for each distinct fingerprint of ``prints(id, fp)``.
+
+    root names the component; component_id is its smallest id.
+    """
+    groups = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "groups")
+    roots = connected_components(near_links(groups.select("fp"), budget))
+    roots = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = roots.groupBy("root").agg(F.min("low").alias("component_id"))
+    return roots.join(named, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``.
 
@@ -184,9 +197,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts shorter than the shingle are hashed whole. Other columns are not read.
     """
     base = materialize(fingerprints(docs, id_col, text_col, shingle), "prints")
-    groups = materialize(base.groupBy("fp").agg(F.min("id").alias("low")), "groups")
-    roots = connected_components(near_links(groups.select("fp"), budget))
-    roots = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = materialize(roots.join(named, "root").select("fp", "component_id"), "components")
-    return base.join(named, "fp").select("id", "fp", "component_id")
+    return base.join(materialize(components(base, budget), "components"), "fp").select("id", "fp", "component_id")
