@@ -65,7 +65,7 @@ def parse_group(spec: Any) -> GroupSpec:
 
 
 def grouped(df: DataFrame, spec: GroupSpec, row: Any, schema: T.StructType, meta: dict[str, Column]) -> DataFrame:
-    """One row per group, in order of first appearance (column ``_row``); keys k0.. are ``_id`` or its parts.
+    """One row per group, in order of first appearance (column ``_row``); the key is ``_id`` (several: ``_id0``, ``_id1``); collected record keys are ``_ids``.
 
     A key that does not resolve is the null group. Every aggregate that can be is computed
     partially before the shuffle; lists gather one group's values, as their result does.
@@ -92,7 +92,7 @@ def grouped(df: DataFrame, spec: GroupSpec, row: Any, schema: T.StructType, meta
         else:
             found = resolve(path, row, schema) if path else (row.getField(schema.names[0]), schema[0].dataType)
             c, t = found if found else (F.lit(None).cast("string"), T.StringType())
-        name = f"{name}.${op}" if name in taken else name
+        name = "_ids" if name == "_id" else f"{name}.${op}" if name in taken else name
         taken.add(name)
         outs.append(aggregated(op, c, t, meta["_row"]).alias(name))
     dates = [F.min(meta["_cdate"]).alias("_cdate"), F.max(meta["_mdate"]).alias("_mdate")] if meta.get("_dated") is not None else []

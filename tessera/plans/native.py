@@ -299,7 +299,7 @@ def dated(node: Node, scope: Scope) -> Column:
     strip = lambda x: x.date() if isinstance(x, dt.datetime) else x
     if node.op in ("near", "mod"):
         day = scope.created if isinstance(probe, dt.datetime | float) else scope.modified
-        n = F.datediff(day, F.lit(dt.date(1, 1, 1))) + 1
+        n = F.datediff(day, F.to_date(F.lit("0001-01-01"))) + 1
         if node.op == "near":
             return _held(F.abs(F.datediff(day, F.lit(strip(probe)))) <= arg[1], node.invert)
         return _held(n - F.lit(arg[0]) * F.floor(n / arg[0]) == arg[1], node.invert)
