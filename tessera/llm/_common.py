@@ -55,6 +55,13 @@ def path_of(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bound what a Python worker is handed at once: whole texts can be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def identity(*names: str) -> Column:
     """64-bit identity of a row's values; nulls and empty strings differ."""
     return F.xxhash64(*[x for n in names for x in (F.col(n), F.col(n).isNull())])

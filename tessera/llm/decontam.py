@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import identity, materialize
+from tessera.llm._common import identity, materialize, small_batches
 
 MASKS = ("11011011", "1110010111", "11001010111", "111111")
 WINDOW, SIMILARITY, MIN_TOKENS = 13, 0.8, 5
@@ -169,6 +169,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     MIN_TOKENS tokens are no evidence and never match. Repeated rows give repeated pairs. Empty
     tables give no rows. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     slim, items = _slim(docs, id_col, text_col), _slim(tests, item_col, item_text_col)
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     if size <= broadcast_bytes:

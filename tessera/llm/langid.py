@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize
+from tessera.llm._common import materialize, small_batches
 
 ORDER, BITS, UNIT = 3, 6, 512
 #: At most about so many documents of each language are learned from (a hash of the id decides which).
@@ -129,6 +129,7 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ties go to the first language in alphabetical order. With nothing to learn from all is ``und``.
     Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     model = trained(docs, id_col, text_col, lang_col, max_train)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(_held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import identity, materialize
+from tessera.llm._common import identity, materialize, small_batches
 
 MIN_WORDS, MAX_REPEATED, MIN_LINE_WORDS, MIN_DOCS, SHARE, DEPLETED = 50, 0.5, 4, 10, 0.001, 0.5
 _SPACES, _SYMBOLS, _DIGITS = " \t\n\x0b\x0c\r", "#*$%&|<>", bytes.maketrans(b"0123456789", b"0" * 10)
@@ -78,6 +78,7 @@ _COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: key, id, host, body (the text's hash), the counts, and its lines."""
+    small_batches(docs.sparkSession)
     slim = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host")
     )

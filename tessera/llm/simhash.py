@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import connected_components, materialize
+from tessera.llm._common import connected_components, materialize, small_batches
 
 SHINGLE, SEED, BUDGET, NODE_LIMIT = 4, 42, 4, 4096
 #: Node pairs in flight in one step of the walk, and fingerprints walked together.
@@ -49,6 +49,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
     """(id, fp, and ``carry`` columns of longs): one row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
     carry = carry or []
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

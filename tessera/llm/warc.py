@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialize, shared_path
+from tessera.llm._common import materialize, shared_path, small_batches
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_MIN = 256 << 10, 32 << 20, 1000
 # Fixed values of the seekable format.
@@ -137,6 +137,7 @@ def write_bundles(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     writes no bundle.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     again = materialize(revisits(pages, id_col, html_col), "revisits").select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "refers_to")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), _payload(html_col).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
