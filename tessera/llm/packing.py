@@ -9,6 +9,7 @@ the last window of a shard is carried into the next, so that a task pads one win
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,10 +20,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import small_batches
+
 WINDOW, END, SHARD, K1, B = 2048, 1, 512, 1.2, 0.75
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-#: Words whose ids are kept; beyond, the memory starts anew (a matter of speed only).
-_KEPT_WORDS = 1 << 19
+#: Words whose ids are kept; beyond, those not met again are forgotten (a matter of speed only).
+_KEPT_WORDS = 1 << 18
+#: UTF-8 of lower-case letters of ASCII and Latin-1.
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: A comma or stop between a letter or digit and white space is a word of its own.
+_STOPS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([,.])(?=[\x20\x09-\x0d])")
+#: Classes of bytes: a letter or digit, h end of a Latin-1 letter, X start of any other character
+#: beyond ASCII, s white space, c comma or stop, p the rest.
+_CLASS = bytes(
+    ord("a" if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else "s" if b in (9, 10, 11, 12, 13, 32) else "c" if b in (44, 46) else "p" if b < 128 else "h" if 0x9F <= b <= 0xBF and b != 0xB7 else "X" if b >= 0xC0 and b != 0xC3 else "p")
+    for b in range(256)
+)
+#: Texts tokenized together.
+_TOGETHER = 256
 
 
 def tokenizer_path() -> str:
@@ -33,44 +48,75 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
+def _stops_apart(raw: bytes) -> bytes:
+    """White space before each comma or stop that is a word of its own."""
+    kinds = raw.translate(_CLASS)
+    if b"X" in kinds or b"pcs" in kinds or b"ccs" in kinds:
+        return _STOPS.sub(rb" \1", raw)
+    return raw.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n")
 
 
 class WordTokenizer:
     """Ids of whole texts through a memory of words.
 
     The vocabulary's normalizer and splitter never join across ASCII white space, so a text's ids
-    are those of its white-space separated parts in order.
+    are those of its white-space separated parts in order. New words of lower-case Latin letters
+    alone need neither: they go to the model with white space as the only splitter.
     """
 
     def __init__(self, path: str):
-        self._model, self._known = _tokenizer(path), {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        """Remember new words; a final comma or stop after a letter or digit is a word of its own."""
-        cut = {w: w[:-1] for w in new if w[-1:] in b",." and w[-2:-1].isalnum()}
-        known = self._known
-        base = [w for w in dict.fromkeys([*(cut.get(w, w) for w in new), b",", b"."]) if w not in known]
-        for w, e in zip(base, self._model.encode_batch([w.decode() for w in base], add_special_tokens=False), strict=True):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self._whole, self._letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._letters.normalizer = normalizers.Sequence([])
+        split = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence(split)
+        last = [i for t, i in self._whole.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
+        self._last = np.zeros(1 << 16, bool)
+        self._last[last] = True
+        self._known, self._old = {}, {}
+
+    def _learn_letters(self, words: list[bytes]) -> None:
+        lines = [b" ".join(words[k : k + 100]).decode() for k in range(0, len(words), 100)]
+        ids = [e.ids for e in self._letters.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.fromiter((i for x in ids for i in x), np.uint16)
+        ends = (np.flatnonzero(self._last[flat]) + 1).tolist()
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary has words without an end")
+        raw, at = flat.tobytes(), 0
+        for w, end in zip(words, ends, strict=True):
+            self._known[w] = raw[2 * at : 2 * end]
+            at = end
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, old = self._known, self._old
+        again = new & old.keys()
+        known.update((w, old[w]) for w in again)
+        new -= again
+        plain = list(filter(_LATIN.fullmatch, new))
+        self._learn_letters(plain)
+        rest = list(new.difference(plain))
+        for w, e in zip(rest, self._whole.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, np.uint16).tobytes()
-        for w, b in cut.items():
-            known[w] = known[b] + known[w[-1:]]
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        raw = (text or "").encode("utf-8", "replace")
-        words = (raw if b"<|" in raw else raw.lower()).split()  # the normalizer lower-cases, but for special tokens
-        known = self._known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + 2 * len(new) > _KEPT_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        return np.frombuffer(b"".join([known[w] for w in words]) + END.to_bytes(2, "little"), np.uint16)
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        lists = []
+        for text in texts:
+            text = text or ""
+            if "<|" not in text and "\u03a3" not in text:
+                text = text.lower()  # as the normalizer does, but for special tokens and the final sigma
+            lists.append(_stops_apart(text.encode("utf-8", "replace")).split())
+        if len(self._known) > _KEPT_WORDS:
+            self._old, self._known = self._known, {}
+        self._learn(set().union(*lists) - self._known.keys())
+        get, end = self._known.__getitem__, END.to_bytes(2, "little")
+        return [np.frombuffer(b"".join(map(get, words)) + end, np.uint16) for words in lists]
+
+
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per worker, so that its memory serves all its tasks."""
+    return WordTokenizer(path)
 
 
 class Index:
@@ -85,10 +131,11 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], np.float32)
-        term = np.concatenate([d.astype(np.int64) for d in docs])
-        owner = np.repeat(np.arange(n, dtype=np.int64), sizes.astype(np.int64))
-        pair, count = np.unique(term * n + owner, return_counts=True)
-        term, owner = pair // n, pair % n
+        bits = max(1, n - 1).bit_length()
+        kind = np.uint32 if bits <= 16 else np.uint64  # a token id has 16 bits
+        owner = np.repeat(np.arange(n, dtype=kind), sizes.astype(np.int64))
+        pair, count = np.unique(np.concatenate(docs).astype(kind) << kind(bits) | owner, return_counts=True)
+        term, owner = (pair >> kind(bits)).astype(np.int64), (pair & kind((1 << bits) - 1)).astype(np.int64)
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         norm = K1 * (1 - B + B * sizes / max(float(sizes.mean()), 1.0))
@@ -160,7 +207,7 @@ def pack_shard(docs: list[np.ndarray], packer: Packer) -> list[tuple]:
 
 def signature(ids: np.ndarray) -> int:
     """Min-hash of the words' ids: texts that share most of their tokens mostly share it."""
-    mixed = (np.unique(ids).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     return int((mixed * np.uint64(0xBF58476D1CE4E5B9)).min() >> np.uint64(1))
 
@@ -173,12 +220,14 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     gives no rows. Other columns are not read.
     """
     path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer(path)
-        for batch in batches:
-            ids = [encode(t) for t in batch.column(1).to_pylist()]
+        encode = word_tokenizer(path)
+        for whole, at in ((w, k) for w in batches for k in range(0, w.num_rows, _TOGETHER)):
+            batch = whole.slice(at, _TOGETHER)
+            ids = encode(batch.column(1).to_pylist())
             body = [x.tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([signature(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in body], pa.int64()), pa.array(body, pa.binary())], names=["id", "sign", "deal", "ids"]
