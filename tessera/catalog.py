@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.flags import mask
@@ -205,7 +205,7 @@ def vector_xf(op: str, sql: str, digits: int = 5) -> None:
 
 
 _TEXT = "array_to_string(list_transform({}, lambda x: printf('%.3f', x)), ',')"
-vector_xf("avg", "round(list_avg(e), 5)")
+vector_xf("avg", "round(list_avg(e), 9)", 9)  # means of 64 thousandths have 9 decimals: nothing to round
 vector_xf("std", "round(list_stddev_pop(e), 5)")
 vector_xf("sum", "round(list_sum(e), 5)")
 vector_xf("min", "round(list_min(e), 5)")
@@ -423,22 +423,26 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOG = "SELECT user_id::VARCHAR AS id, event_id AS ver, event_type = 'error' AS gone, value, ts FROM events"
-_VALUE = F.col("_json").cast("double").alias("value")
+
+
+def _value() -> Column:
+    return F.col("_json").cast("double").alias("value")
+
 
 
 @add("hist_live", f"SELECT id AS _id, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS n FROM ({_LOG})) WHERE n = 1 AND NOT gone")
 def hist_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live(_log(spark, sf_dir)).select("_id", _VALUE)
+    return live(_log(spark, sf_dir)).select("_id", _value())
 
 
 @add("hist_as_of", f"SELECT id AS _id, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS n FROM ({_LOG}) WHERE ver < 500) WHERE n = 1 AND NOT gone")
 def hist_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return live(_log(spark, sf_dir), 500).select("_id", _VALUE)
+    return live(_log(spark, sf_dir), 500).select("_id", _value())
 
 
 @add("hist_revert", f"SELECT id AS _id, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS n FROM ({_LOG})) WHERE n = 2 AND NOT gone")
 def hist_revert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nth_latest(_log(spark, sf_dir), 2).where("_op = 'put'").select("_id", _VALUE)
+    return nth_latest(_log(spark, sf_dir), 2).where("_op = 'put'").select("_id", _value())
 
 
 @add("hist_changes", f"SELECT id AS _id, CASE WHEN gone THEN 'del' ELSE 'put' END AS op FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ver DESC) AS n FROM ({_LOG}) WHERE ver >= 900) WHERE n = 1")

@@ -91,6 +91,8 @@ def _sum(c: Column, t: T.ArrayType) -> Column:
 def applied(op: str, c: Column, t: T.DataType) -> Typed | None:
     """A transform of any value; None where the type does not allow it."""
     if not isinstance(t, T.ArrayType):
+        if op == "unique" and isinstance(t, T.MapType | T.StructType):
+            return c, t
         if isinstance(t, T.MapType) and op == "len":
             return F.size(c), T.IntegerType()
         if isinstance(t, T.StructType):

@@ -24,7 +24,7 @@ from tessera.plans import interpret
 from tessera.plans.storage import cut
 
 LOG = "_group string, _id string, _ver long, _op string, _row long, _cdate date, _mdate date, _ttl int, _flags int, _json string"
-COLUMNS = [f.name for f in T.StructType.fromDDL(LOG).fields]
+COLUMNS = [part.split()[0] for part in LOG.split(", ")]
 PUT, DELETE = "put", "del"
 KEY = ["_group", "_id"]
 

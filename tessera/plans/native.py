@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessera.functions.transforms import applied, as_number, is_number
 from tessera.plans.interpret import JSON_SYMBOLS
 from tessera.plans.row import RowColumns
-from tessera.plans.rules import Apply, Complement, Constant, Index, Junction, Leaf, Node, Path, Quantified, Step, glob_pattern, java_pattern
+from tessera.plans.rules import Apply, Complement, Constant, Index, Junction, Leaf, Node, Path, Quantified, Step, false_on_null, glob_pattern, java_pattern
 
 _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -108,7 +108,7 @@ def _leaf(op: str, arg: Any, invert: bool, c: Column, t: T.DataType, scope: Scop
             own = F.array(*[literal(x, t.elementType) for x in inside]).cast(t) if inside else F.array().cast(t)
             if op == "anyin":
                 return _held(F.coalesce(F.arrays_overlap(c, own), F.when(c.isNotNull(), F.lit(False))), invert)
-            return _held((F.size(F.array_except(own, c)) == 0) & F.lit(len(inside) == len(list(arg))), invert)
+            return _held(F.when(c.isNotNull(), (F.size(F.array_except(own, c)) == 0) & F.lit(len(inside) == len(list(arg)))), invert)
         if isinstance(t, T.StructType | T.MapType) or not hasattr(arg, "__contains__"):
             return no
         if isinstance(arg, str):
@@ -261,11 +261,18 @@ def _reach(steps: tuple[Step, ...], c: Column, t: T.DataType, test: Callable[[Co
     return found
 
 
+def _resolved(node: Node, c: Any, t: T.DataType, scope: Scope, invert: bool = False) -> Column:
+    """A rule on a value that must be there, inverted or not."""
+    test = compiled(node, c, t, scope)
+    if invert:
+        return c.isNotNull() & ~test
+    return test if false_on_null(node) else c.isNotNull() & test
+
+
 def _path(node: Path, c: Column, t: T.DataType, scope: Scope) -> Column:
     out = _field(c, t, node.text) if not isinstance(t, T.ArrayType) else None
-    flip = lambda test, resolved, no: (resolved & ~test) if no else test
     if out and isinstance(t, T.StructType):
-        return flip(compiled(node.exact, *out, scope), out[0].isNotNull(), node.invert)
+        return _resolved(node.exact, *out, scope, node.invert)
     if node.meta:
         name, rule = node.meta
         test = compiled(rule, scope.key, T.StringType(), scope) if name == "_id" else dated(rule, scope)
@@ -273,16 +280,16 @@ def _path(node: Path, c: Column, t: T.DataType, scope: Scope) -> Column:
     if not isinstance(t, T.StructType | T.MapType):
         return F.lit(False)
     if node.wild is not None:
-        test = _reach(node.wild[0], c, t, lambda x, xt: compiled(node.wild[1], x, xt, scope))
+        test = _reach(node.wild[0], c, t, lambda x, xt: _resolved(node.wild[1], x, xt, scope))
         return ~test if node.invert else test
     if out and not node.readings:
-        return flip(compiled(node.exact, *out, scope), out[0].isNotNull(), node.invert)
+        return _resolved(node.exact, *out, scope, node.invert)
     for steps, rule, no in node.readings:
         x: tuple[Column, T.DataType] | None = (c, t)
         for step in steps:
             x = x and (applied(step.name, *x) if step.kind == "transform" else _field(*x, step.name))
         if x:
-            return flip(compiled(rule, *x, scope), x[0].isNotNull(), node.invert ^ no)
+            return _resolved(rule, *x, scope, node.invert ^ no)
     return F.lit(False)
 
 

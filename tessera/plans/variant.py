@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.plans.rules import Complement, Constant, Junction, Leaf, Node, Path
+from tessera.plans.rules import Complement, Constant, Junction, Leaf, Node, Path, false_on_null
 
 _PLAIN = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -41,6 +41,8 @@ def _leaf(doc: Column, path: str, node: Leaf) -> Column | None:
     else:  # only numbers and booleans are read as numbers, never text
         c = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), _pick(doc, path, "double"))
         c = F.when(kind == "BOOLEAN", _pick(doc, path, "boolean").cast("double")).otherwise(c)
+        many = [float(x) for x in many]
+        arg = many[0]
     if op in ("sw", "ew"):
         test = reduce(lambda x, y: x | y, [c.startswith(x) if op == "sw" else c.endswith(x) for x in many])
     elif op == "between":
@@ -73,7 +75,11 @@ def compiled(node: Node, doc: Column, path: str = "$") -> Column | None:
         names = [s.name for s in steps] if node.readings else [node.text]
         if flip or len(node.readings) > 1 or any(s.kind != "get" for s in steps) or not all(map(_PLAIN.match, names)):
             return None
-        return compiled(rule, doc, path + "".join(f".{n}" for n in names))
+        at = path + "".join(f".{n}" for n in names)
+        inner = compiled(rule, doc, at)
+        if inner is None or false_on_null(rule):
+            return inner
+        return _pick(doc, at, "variant").isNotNull() & inner
     if isinstance(node, Leaf):
         return _leaf(doc, path, node)
     return None
