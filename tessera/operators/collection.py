@@ -82,14 +82,14 @@ class Collection:
             found["_dated"] = F.lit(True)
         return found
 
-    def _scope(self) -> native.Scope:
-        return native.Scope(self.meta("_id"), self.meta("_cdate"), self.meta("_mdate"))
+    def _scope(self, loose: bool = False) -> native.Scope:
+        return native.Scope(self.meta("_id"), self.meta("_cdate"), self.meta("_mdate"), loose)
 
-    def condition(self, rule: Any) -> Column:
-        """Column of a rule over the records' values."""
+    def condition(self, rule: Any, loose: bool = False) -> Column:
+        """Column of a rule over the records' values; ``loose``: null may stand for False, as in a filter."""
         node = rule if isinstance(rule, Node) else parse(rule)
         if not self.schemaless:
-            return native.compiled(node, RowColumns(self.schema), self.schema, self._scope())
+            return native.compiled(node, RowColumns(self.schema), self.schema, self._scope(loose))
         quick = variant.compiled(node, F.parse_json("_json"))
         return quick if quick is not None else self._interpreted(node)
 
@@ -157,7 +157,7 @@ class Collection:
         if date is not None:
             df = df.where(native.dated(_date_rule(date, self.as_of), self._scope()))
         if rule is not None:
-            df = df.where(self.condition(rule))
+            df = df.where(self.condition(rule, loose=True))
         if limit or skip:
             df = df.orderBy(self.meta("_row"))
             df = df.offset(skip) if skip else df

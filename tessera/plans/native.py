@@ -26,10 +26,17 @@ _TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 class Scope:
-    """Columns beside the value that a rule may name: the key and the two dates."""
+    """Columns beside the value that a rule may name: the key and the two dates.
 
-    def __init__(self, key: Column | None = None, created: Column | None = None, modified: Column | None = None):
-        self.key, self.created, self.modified = key, created, modified
+    ``loose``: the result is only filtered by, so a null may stand for False; leaves are then plain
+    comparisons, which the scan can use. Anything that is negated is compiled strictly.
+    """
+
+    def __init__(self, key: Column | None = None, created: Column | None = None, modified: Column | None = None, loose: bool = False):
+        self.key, self.created, self.modified, self.loose = key, created, modified, loose
+
+    def strict(self) -> Scope:
+        return Scope(self.key, self.created, self.modified)
 
 
 def constant(value: bool) -> Column:
@@ -82,24 +89,25 @@ def _members(t: T.DataType, args: Any) -> list:
 
 def _leaf(op: str, arg: Any, invert: bool, c: Column, t: T.DataType, scope: Scope) -> Column:
     no = F.lit(False)
+    held = (lambda test, flip: ~test if flip else test) if scope.loose else _held
     if op in ("eq", "gt", "gte", "lt", "lte"):
         if not _fits(t, arg):
             return no
         a, b = _operands(c, t, arg)
-        return _held({"eq": lambda: a == b, "gt": lambda: a > b, "gte": lambda: a >= b, "lt": lambda: a < b, "lte": lambda: a <= b}[op](), invert)
+        return held({"eq": lambda: a == b, "gt": lambda: a > b, "gte": lambda: a >= b, "lt": lambda: a < b, "lte": lambda: a <= b}[op](), invert)
     if op == "between":
         low, high = arg
         if not (_fits(t, low) and _fits(t, high)):
             return no
         a = as_number(c, t)[0]
-        return _held((a >= literal(low, t)) & (a <= literal(high, t)), invert)
+        return held((a >= literal(low, t)) & (a <= literal(high, t)), invert)
     if op in ("near", "mod"):
         if not (is_number(t) or isinstance(t, T.BooleanType)):
             return no
         a = as_number(c, t)[0]
         if op == "near":
-            return _held(F.abs(a - arg[0]) <= arg[1], invert)
-        return _held(a - F.lit(arg[0]) * F.floor(a / arg[0]) == arg[1], invert)
+            return held(F.abs(a - arg[0]) <= arg[1], invert)
+        return held(a - F.lit(arg[0]) * F.floor(a / arg[0]) == arg[1], invert)
     if op in ("in", "anyin"):
         if isinstance(t, T.ArrayType):
             if isinstance(arg, str) or not hasattr(arg, "__iter__"):
@@ -107,33 +115,33 @@ def _leaf(op: str, arg: Any, invert: bool, c: Column, t: T.DataType, scope: Scop
             inside = _members(t.elementType, arg)
             own = F.array(*[literal(x, t.elementType) for x in inside]).cast(t) if inside else F.array().cast(t)
             if op == "anyin":
-                return _held(F.coalesce(F.arrays_overlap(c, own), F.when(c.isNotNull(), F.lit(False))), invert)
-            return _held(F.when(c.isNotNull(), (F.size(F.array_except(own, c)) == 0) & F.lit(len(inside) == len(list(arg)))), invert)
+                return held(F.coalesce(F.arrays_overlap(c, own), F.when(c.isNotNull(), F.lit(False))), invert)
+            return held(F.when(c.isNotNull(), (F.size(F.array_except(own, c)) == 0) & F.lit(len(inside) == len(list(arg)))), invert)
         if isinstance(t, T.StructType | T.MapType) or not hasattr(arg, "__contains__"):
             return no
         if isinstance(arg, str):
-            return _held(F.contains(F.lit(arg), c), invert) if isinstance(t, T.StringType) else no
+            return held(F.contains(F.lit(arg), c), invert) if isinstance(t, T.StringType) else no
         inside = _members(t, arg)
         a = as_number(c, t)[0] if not all(isinstance(x, bool) for x in inside) else c
         test = a.isin(*[int(x) if isinstance(x, bool) and a is not c else x for x in inside]) if inside else F.when(c.isNotNull(), F.lit(False))
-        return _held(test, invert)
+        return held(test, invert)
     if op in ("has", "ihas"):
         fold = F.lower if op == "ihas" else lambda x: x
         low = (lambda x: x.lower() if isinstance(x, str) else x) if op == "ihas" else lambda x: x
         if isinstance(t, T.StringType):
-            return _held(F.contains(fold(c), F.lit(low(arg))), invert) if isinstance(arg, str) else no
+            return held(F.contains(fold(c), F.lit(low(arg))), invert) if isinstance(arg, str) else no
         wanted = list(arg) if isinstance(arg, list | tuple | set | frozenset) else [arg]
         if isinstance(t, T.ArrayType):
             fit = all(_fits(t.elementType, x) for x in wanted)
             own = F.transform(c, fold) if op == "ihas" and isinstance(t.elementType, T.StringType) else c
             test = reduce(lambda x, y: x & y, [F.coalesce(F.array_contains(own, literal(low(x), t.elementType)), F.when(c.isNotNull(), F.lit(False))) for x in wanted], F.when(c.isNotNull(), F.lit(True))) if fit else F.when(c.isNotNull(), F.lit(False))
-            return _held(test, invert)
+            return held(test, invert)
         if isinstance(t, T.StructType):
             names = {low(n): n for n in t.names}
             present = [c.getField(names[low(x)]).isNotNull() if low(x) in names else F.lit(False) for x in wanted]
-            return _held(F.when(c.isNotNull(), reduce(lambda x, y: x & y, present, F.lit(True))), invert)
+            return held(F.when(c.isNotNull(), reduce(lambda x, y: x & y, present, F.lit(True))), invert)
         if isinstance(t, T.MapType):
-            return _held(F.when(c.isNotNull(), reduce(lambda x, y: x & y, [F.map_contains_key(c, x) for x in wanted], F.lit(True))), invert)
+            return held(F.when(c.isNotNull(), reduce(lambda x, y: x & y, [F.map_contains_key(c, x) for x in wanted], F.lit(True))), invert)
         return no
     if op in ("sw", "ew"):
         if isinstance(t, T.BinaryType):
@@ -141,7 +149,7 @@ def _leaf(op: str, arg: Any, invert: bool, c: Column, t: T.DataType, scope: Scop
         if not isinstance(t, T.StringType):
             return no
         ends = list(arg) if isinstance(arg, tuple | list | set) else [arg]
-        return _held(reduce(lambda x, y: x | y, [c.startswith(x) if op == "sw" else c.endswith(x) for x in ends]), invert)
+        return held(reduce(lambda x, y: x | y, [c.startswith(x) if op == "sw" else c.endswith(x) for x in ends]), invert)
     if op in ("re", "re2", "match"):
         several = list(arg) if isinstance(arg, list | tuple | set | frozenset) else [arg]
         rules = [java_pattern(p) for p in several if isinstance(p, str | re.Pattern)]
@@ -149,15 +157,15 @@ def _leaf(op: str, arg: Any, invert: bool, c: Column, t: T.DataType, scope: Scop
             return no
         text = c if isinstance(t, T.StringType) else json_of(c, t)
         text = F.regexp_replace(text, JSON_SYMBOLS.pattern, "") if op == "re2" else text
-        return _held(reduce(lambda x, y: x & y, [text.rlike(rf"\A(?:{p})\z" if op == "match" else p) for p in rules]), invert)
+        return held(reduce(lambda x, y: x & y, [text.rlike(rf"\A(?:{p})\z" if op == "match" else p) for p in rules]), invert)
     if op == "func":
-        return _held(_called(arg, c, scope), invert)
+        return held(_called(arg, c, scope), invert)
     if op == "size":
         size = F.length(c) if isinstance(t, T.StringType | T.BinaryType) else F.size(c) if isinstance(t, T.ArrayType | T.MapType) else F.lit(len(t)) if isinstance(t, T.StructType) else None
         if size is None:
             return no
         size = F.when(c.isNotNull(), size)
-        return _held(size == int(arg) if isinstance(arg, int | float) else size.isin(*arg), invert)
+        return held(size == int(arg) if isinstance(arg, int | float) else size.isin(*arg), invert)
     if op == "type":
         found = _is_kind(t, arg)
         return no if found is None else _held(F.when(c.isNotNull(), F.lit(found)), invert)
@@ -169,7 +177,7 @@ def _leaf(op: str, arg: Any, invert: bool, c: Column, t: T.DataType, scope: Scop
             present = [F.map_contains_key(c, x) for x in wanted]
         else:
             return no
-        return _held(F.when(c.isNotNull(), reduce(lambda x, y: x & y, present, F.lit(True))), invert)
+        return held(F.when(c.isNotNull(), reduce(lambda x, y: x & y, present, F.lit(True))), invert)
     raise ValueError(f"unknown operator {op}")
 
 
@@ -263,9 +271,9 @@ def _reach(steps: tuple[Step, ...], c: Column, t: T.DataType, test: Callable[[Co
 
 def _resolved(node: Node, c: Any, t: T.DataType, scope: Scope, invert: bool = False) -> Column:
     """A rule on a value that must be there, inverted or not."""
-    test = compiled(node, c, t, scope)
     if invert:
-        return c.isNotNull() & ~test
+        return c.isNotNull() & ~compiled(node, c, t, scope.strict())
+    test = compiled(node, c, t, scope)
     return test if false_on_null(node) else c.isNotNull() & test
 
 
@@ -275,12 +283,13 @@ def _path(node: Path, c: Column, t: T.DataType, scope: Scope) -> Column:
         return _resolved(node.exact, *out, scope, node.invert)
     if node.meta:
         name, rule = node.meta
-        test = compiled(rule, scope.key, T.StringType(), scope) if name == "_id" else dated(rule, scope)
+        inner = scope.strict() if node.invert else scope
+        test = compiled(rule, scope.key, T.StringType(), inner) if name == "_id" else dated(rule, inner)
         return ~test if node.invert else test
     if not isinstance(t, T.StructType | T.MapType):
         return F.lit(False)
     if node.wild is not None:
-        test = _reach(node.wild[0], c, t, lambda x, xt: _resolved(node.wild[1], x, xt, scope))
+        test = _reach(node.wild[0], c, t, lambda x, xt: _resolved(node.wild[1], x, xt, scope.strict()))
         return ~test if node.invert else test
     if out and not node.readings:
         return _resolved(node.exact, *out, scope, node.invert)
@@ -298,7 +307,7 @@ def dated(node: Node, scope: Scope) -> Column:
     if isinstance(node, Junction):
         return reduce(lambda x, y: x & y if node.every else x | y, [dated(n, scope) for n in node.items], F.lit(node.every))
     if isinstance(node, Complement):
-        return ~dated(node.item, scope)
+        return ~dated(node.item, scope.strict())
     if not isinstance(node, Leaf):
         return F.lit(False)
     arg = node.arg
@@ -327,22 +336,23 @@ def compiled(node: Node, c: Column, t: T.DataType, scope: Scope) -> Column:
     if isinstance(node, Junction):
         return reduce(lambda x, y: x & y if node.every else x | y, [compiled(n, c, t, scope) for n in node.items]) if node.items else F.lit(node.every)
     if isinstance(node, Complement):
-        return ~compiled(node.item, c, t, scope)
+        return ~compiled(node.item, c, t, scope.strict())
     if isinstance(node, Path):
         return _path(node, c, t, scope)
     if isinstance(node, Apply):
         out = applied(node.op, c, t)
         if not out:
             return F.lit(False)
-        test = compiled(node.item, *out, scope)
+        test = compiled(node.item, *out, scope.strict() if node.invert else scope)
         return out[0].isNotNull() & ~test if node.invert else test
     if isinstance(node, Index):
         if not isinstance(t, T.ArrayType):
             return F.lit(False)
         x = F.get(c, F.lit(node.at))
-        test = compiled(node.item, x, t.elementType, scope)
+        test = compiled(node.item, x, t.elementType, scope.strict() if node.invert else scope)
         return F.coalesce(F.size(c) > node.at, F.lit(False)) & ~test if node.invert else test
     if isinstance(node, Quantified):
+        scope = scope.strict()
         if isinstance(t, T.ArrayType | T.StructType | T.MapType):
             test = _below(node.item, c, t, node.every, scope, lambda x, xt: _deep(node.item, x, xt, node.every, scope))
             if isinstance(t, T.StructType):

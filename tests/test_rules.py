@@ -150,6 +150,20 @@ def test_typed_compiler_agrees_with_the_interpreter(typed):
                 assert r[f"c{k}"] == want, (rule, rows[int(r._id)])
 
 
+def test_filters_reach_the_scan_and_mean_the_same(spark, sf, typed):
+    rows, df = typed
+    for r in [{n: leaf} for n in SCHEMA.names for leaf in LEAF[::4]] + PATHED:
+        test = native.compiled(parse(r), RowColumns(SCHEMA), SCHEMA, native.Scope(F.col("_id"), loose=True))
+        strict = native.compiled(parse(r), RowColumns(SCHEMA), SCHEMA, native.Scope(F.col("_id")))
+        assert df.where(F.coalesce(test, F.lit(False)) != strict).isEmpty(), r
+    c = Collection.from_frame(spark.read.parquet(f"{sf}/orders.parquet"), "o_orderkey")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    found = c.find(vals={"o_orderstatus": "F", "o_totalprice.$gt": 1000, "o_orderpriority.$sw": "1"})
+    plan = found.df.select("o_custkey")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_orderstatus,F)" in plan and "GreaterThan(o_totalprice,1000.0)" in plan and "StringStartsWith(o_orderpriority,1)" in plan
+    assert "o_orderdate" not in plan
+
+
 def test_variant_compiler_agrees_with_the_interpreter(spark):
     rows = documents()
     df = spark.createDataFrame([(str(k), interpret.json_text(d)) for k, d in enumerate(rows)], "_id string, _json string")
