@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,8 @@ from tessera.llm._common import small_batches
 
 WINDOW, END, SHARD, K1, B = 2048, 1, 512, 1.2, 0.75
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-#: Words whose ids are kept; beyond, those not met again are forgotten (a matter of speed only).
-_KEPT_WORDS = 1 << 18
-#: UTF-8 of lower-case letters of ASCII and Latin-1.
-_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Words whose ids are kept; beyond, all are forgotten (a matter of speed only).
+_KEPT_WORDS = 1 << 20
 #: A comma or stop between a letter or digit and white space is a word of its own.
 _STOPS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([,.])(?=[\x20\x09-\x0d])")
 #: Classes of bytes: a letter or digit, h end of a Latin-1 letter, X start of any other character
@@ -36,6 +35,12 @@ _CLASS = bytes(
     ord("a" if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else "s" if b in (9, 10, 11, 12, 13, 32) else "c" if b in (44, 46) else "p" if b < 128 else "h" if 0x9F <= b <= 0xBF and b != 0xB7 else "X" if b >= 0xC0 and b != 0xC3 else "p")
     for b in range(256)
 )
+#: Bytes of words, and bytes that no word of lower-case Latin-1 letters has.
+_INSIDE = np.array([b not in (9, 10, 11, 12, 13, 32) for b in range(256)])
+_ODD = np.array([not (97 <= b <= 122 or b == 0xC3 or (0x9F <= b <= 0xBF and b != 0xB7)) for b in range(256)])
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+_LONG = 64
 #: Texts tokenized together.
 _TOGETHER = 256
 
@@ -60,10 +65,13 @@ class WordTokenizer:
     """Ids of whole texts through a memory of words.
 
     The vocabulary's normalizer and splitter never join across ASCII white space, so a text's ids
-    are those of its white-space separated parts in order. New words of lower-case Latin letters
-    alone need neither: they go to the model with white space as the only splitter.
+    are those of its white-space separated parts in order. Words are found, hashed (128 bits) and
+    looked up in arrays, many texts at once; only words not met before go to the model. Those of
+    lower-case Latin letters alone need neither normalizer nor splitter there.
     """
 
+    SLOTS = 1 << 21
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -74,43 +82,129 @@ class WordTokenizer:
         last = [i for t, i in self._whole.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self._last = np.zeros(1 << 16, bool)
         self._last[last] = True
-        self._known, self._old = {}, {}
-
-    def _learn_letters(self, words: list[bytes]) -> None:
-        lines = [b" ".join(words[k : k + 100]).decode() for k in range(0, len(words), 100)]
-        ids = [e.ids for e in self._letters.encode_batch_fast(lines, add_special_tokens=False)]
-        flat = np.fromiter((i for x in ids for i in x), np.uint16)
-        ends = (np.flatnonzero(self._last[flat]) + 1).tolist()
-        if len(ends) != len(words):
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empty memory but for entry 0, the end token."""
+        self._slots = np.full(self.SLOTS, -1, np.int32)
+        self._hash = np.zeros((2, 1024), np.uint64)
+        self._at, self._n = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._pool = np.zeros(1 << 16, np.uint16)
+        self._pool[0] = END
+        self._n[0], self._used, self._filled = 1, 1, 1
+
+    def _encode(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each), plain words first."""
+        easy = [words[k] for k in np.flatnonzero(plain)]
+        hard = [words[k].decode() for k in np.flatnonzero(~plain)]
+        lines = [b" ".join(easy[k : k + 100]).decode() for k in range(0, len(easy), 100)]
+        flat = [i for e in self._letters.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids]
+        ends = np.flatnonzero(self._last[np.array(flat, np.int64)]) + 1
+        if len(ends) != len(easy):
             raise ValueError("the vocabulary has words without an end")
-        raw, at = flat.tobytes(), 0
-        for w, end in zip(words, ends, strict=True):
-            self._known[w] = raw[2 * at : 2 * end]
-            at = end
-
-    def _learn(self, new: set[bytes]) -> None:
-        known, old = self._known, self._old
-        again = new & old.keys()
-        known.update((w, old[w]) for w in again)
-        new -= again
-        plain = list(filter(_LATIN.fullmatch, new))
-        self._learn_letters(plain)
-        rest = list(new.difference(plain))
-        for w, e in zip(rest, self._whole.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint16).tobytes()
+        more = [e.ids for e in self._whole.encode_batch_fast(hard, add_special_tokens=False)]
+        sizes = np.concatenate((np.diff(ends, prepend=0), np.array([len(x) for x in more], np.int64)))
+        return np.array(flat + [i for x in more for i in x], np.uint16), sizes
+
+    def _learn(self, words: list[bytes], plain: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Remember new words with their hashes; returns their entries."""
+        ids, sizes = self._encode(words, plain)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        first, n = self._used, len(words)
+        while first + n > len(self._at):
+            self._hash = np.concatenate((self._hash, np.zeros_like(self._hash)), axis=1)
+            self._at, self._n = (np.concatenate((x, np.zeros_like(x))) for x in (self._at, self._n))
+        while self._filled + len(ids) > len(self._pool):
+            self._pool = np.concatenate((self._pool, np.zeros_like(self._pool)))
+        self._pool[self._filled : self._filled + len(ids)] = ids
+        self._hash[:, first : first + n] = hashes[:, order]
+        self._n[first : first + n] = sizes
+        self._at[first : first + n] = self._filled + np.cumsum(sizes) - sizes
+        self._used, self._filled = first + n, self._filled + len(ids)
+        entry = np.arange(first, first + n)
+        left, slot = entry, self._hash[0, entry] >> np.uint64(43)
+        while len(left):
+            free = self._slots[slot] < 0
+            place, pick = np.unique(slot[free], return_index=True)
+            took = np.flatnonzero(free)[pick]
+            self._slots[place] = left[took]
+            rest = np.ones(len(left), bool)
+            rest[took] = False
+            left, slot = left[rest], (slot[rest] + np.uint64(1)) & np.uint64(self.SLOTS - 1)
+        out = np.empty(n, np.int64)
+        out[order] = entry
+        return out
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each word, -1 where it is new."""
+        out = np.full(hashes.shape[1], -1, np.int64)
+        at, slot = np.arange(len(out)), hashes[0] >> np.uint64(43)
+        while len(at):
+            e = self._slots[slot]
+            same = (e > 0) & (self._hash[0, e] == hashes[0, at]) & (self._hash[1, e] == hashes[1, at])
+            out[at[same]] = e[same]
+            go = (e >= 0) & ~same
+            at, slot = at[go], (slot[go] + np.uint64(1)) & np.uint64(self.SLOTS - 1)
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        lists = []
+        if self._used > _KEPT_WORDS:
+            self._forget()
+        raws = []
         for text in texts:
             text = text or ""
             if "<|" not in text and "\u03a3" not in text:
                 text = text.lower()  # as the normalizer does, but for special tokens and the final sigma
-            lists.append(_stops_apart(text.encode("utf-8", "replace")).split())
-        if len(self._known) > _KEPT_WORDS:
-            self._old, self._known = self._known, {}
-        self._learn(set().union(*lists) - self._known.keys())
-        get, end = self._known.__getitem__, END.to_bytes(2, "little")
-        return [np.frombuffer(b"".join(map(get, words)) + end, np.uint16) for words in lists]
+            raws.append(_stops_apart(text.encode("utf-8", "replace")))
+        flat = b" ".join(raws) + b" " * 17
+        a = np.frombuffer(flat, np.uint8)
+        inside = _INSIDE[a]
+        turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        turns = np.concatenate(([0], turns)) if inside[0] else turns
+        starts, ends = turns[0::2], turns[1::2]
+        hashes = _word_hashes(flat, a, starts, ends)
+        entry = self._find(hashes)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            order = np.lexsort(hashes[:, new])
+            pair = hashes[:, new[order]]
+            fresh = np.concatenate(([True], (pair[:, 1:] != pair[:, :-1]).any(axis=0)))
+            one, back = new[order[fresh]], np.empty(len(new), np.int64)
+            back[order] = np.cumsum(fresh) - 1
+            odd = np.cumsum(_ODD[a])
+            plain = odd[ends[one] - 1] == np.where(starts[one] > 0, odd[starts[one] - 1], 0)
+            words = [flat[x:y] for x, y in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+            entry[new] = self._learn(words, plain, hashes[:, one])[back]
+        stops = np.cumsum([len(r) + 1 for r in raws])
+        upto = np.searchsorted(starts, stops)
+        entry = np.insert(entry, upto, 0)
+        sizes = self._n[entry]
+        done = np.cumsum(sizes)
+        ids = self._pool[np.repeat(self._at[entry] - (done - sizes), sizes) + np.arange(done[-1] if len(done) else 0)]
+        return np.split(ids, done[upto + np.arange(len(texts))][:-1]) if texts else []
+
+
+def _word_hashes(flat: bytes, a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each word, eight bytes at a step; long words one by one."""
+    eight = np.ndarray(len(a) - 8, "<u8", flat, strides=(1,))
+    size = ends - starts
+    out = np.empty((2, len(size)), np.uint64)
+    out[0] = size.astype(np.uint64) * _MIX[0]
+    out[1] = size.astype(np.uint64) * _MIX[1]
+    at = np.flatnonzero(size <= _LONG)
+    step = 0
+    while len(at):
+        part = eight[starts[at] + step] & _LOW[np.minimum(size[at] - step, 8)]
+        for k in (0, 1):
+            h = (out[k, at] ^ part) * _MIX[2 + k]
+            out[k, at] = h ^ (h >> np.uint64(29 + 3 * k))
+        step += 8
+        at = at[size[at] > step]
+    out[0] *= _MIX[1]
+    for k in np.flatnonzero(size > _LONG).tolist():
+        both = xxhash.xxh3_128_intdigest(flat[starts[k] : ends[k]])
+        out[0, k], out[1, k] = both & (1 << 64) - 1, both >> 64
+    return out
 
 
 @lru_cache(maxsize=1)

@@ -17,7 +17,7 @@ def whole():
 
 ODD = [
     "é, ü. !, a., b.c, 1. 2,\n É.\n", "Ünd. ñ,ñ ,a .b ÉÈ,", "<|endoftext|>a b<|startoftext|>c", "<|ENDOFTEXT|> x", "I'll  Straße ΟΔΥΣΣΕΥΣ Σ İ é é ́x", "日本語 テスト。, x", "", None, " \n", "a" * 5000, "𝔘𝔫𝔦, €, x",
-    "don't, won't. ###, %%%. a,b. c,, d.. e", "Привет, мир. ÖÄÜ, ×, ÷. ß,",
+    "don't, won't. ###, %%%. a,b. c,, d.. e", "Привет, мир. ÖÄÜ, ×, ÷. ß,", "a\x00b \x00, \x00\x00", "x" * 64 + " " + "y" * 65 + " " + "abc" * 30 + ", é" + "é" * 40, ",", ".", ", .",
 ]
 
 
