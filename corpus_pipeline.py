@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, pii, quality, simhash
-from tessera.llm._common import identity, materialize, table
+from tessera.llm._common import identity, materialize, own_columns, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = kept.join(firsts, F.col("__key") == F.col("__k"), "left_semi")
     twice = materialize(base.groupBy("key").count().where("count > 1").join(firsts, F.col("key") == F.col("__k"), "left_semi").select(F.col("key").alias("__t")), "stage-twice")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return kept.select(*own_columns(docs))
     again = kept.join(twice, F.col("__key") == F.col("__t"), "left_semi").dropDuplicates(["__key"])
     once = kept.join(twice, F.col("__key") == F.col("__t"), "left_anti")
-    return once.unionByName(again).select(*docs.columns)
+    return once.unionByName(again).select(*own_columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts."""
-    return pii.surrogated(docs).select(*docs.columns)
+    return pii.surrogated(docs).select(*own_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,15 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of a frame, whatever their names hold."""
+    return [quoted(c) for c in df.columns]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def identity(*names: str) -> Column:
     """64-bit identity of a row's values; nulls and empty strings differ."""
     return F.xxhash64(*[x for n in names for x in (F.col(n), F.col(n).isNull())])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import identity, materialize, small_batches
+from tessera.llm._common import identity, materialize, own_columns, small_batches
 
 MASKS = ("11011011", "1110010111", "11001010111", "111111")
 WINDOW, SIMILARITY, MIN_TOKENS = 13, 0.8, 5
@@ -183,4 +183,4 @@ def decontaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", te
     parts = [F.col(id_col).cast("long"), F.col(text_col).cast("string")]
     own = F.xxhash64(*[x for p in parts for x in (p, p.isNull())])
     out = docs.withColumn("__key", own).withColumn("__id", parts[0])
-    return out.join(bad, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")), "left_anti").select(*docs.columns)
+    return out.join(bad, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")), "left_anti").select(*own_columns(docs))

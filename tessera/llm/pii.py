@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import identity, materialize
+from tessera.llm._common import identity, materialize, quoted
 
 KEY = "tessera-surrogates-1"
 # Patterns of the detected kinds (Java syntax), most specific first.
@@ -153,7 +153,8 @@ def redrawn(entities: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
 def surrogated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with each entity in ``text_col`` replaced, and a column ``entities`` of what was found.
 
-    entities: array<struct<kind, surrogate>> in text order. Nulls: a null text stays null and has
+    entities: array<struct<kind, surrogate>> in text order (named ``pii_entities`` where ``docs`` has
+    a column of that name). Nulls: a null text stays null and has
     no entities; a null id is carried. Texts without entities are unchanged, byte for byte.
     Repeated rows are rewritten alike. An empty table stays empty. Other columns pass untouched.
     """
@@ -172,7 +173,7 @@ def surrogated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         attempt = lambda x: F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("|", x["kind"], x["value"])), F.lit(0))
     fresh = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), poured(x["kind"], x["m"], surrogate(x["kind"], x["value"], attempt(x), key)).alias("surrogate")))
     pieces = F.split(text, ANY, -1)
-    joined = F.concat(F.element_at(pieces, 1), F.array_join(F.transform("entities", lambda x, i: F.concat(x["surrogate"], F.get(pieces, i + 1))), ""))
-    rewritten = F.when(F.size(F.coalesce("entities", F.array())) > 0, joined).otherwise(text)
-    out = out.withColumn("entities", F.coalesce(fresh, F.array().cast("array<struct<kind:string,surrogate:string>>")))
-    return out.select(*[rewritten.alias(c) if c == text_col else F.col(c) for c in docs.columns], "entities")
+    joined = F.concat(F.element_at(pieces, 1), F.array_join(F.transform("__entities", lambda x, i: F.concat(x["surrogate"], F.get(pieces, i + 1))), ""))
+    rewritten = F.when(F.size(F.coalesce("__entities", F.array())) > 0, joined).otherwise(text)
+    out = out.withColumn("__entities", F.coalesce(fresh, F.array().cast("array<struct<kind:string,surrogate:string>>")))
+    return out.select(*[rewritten.alias(c) if c == text_col else quoted(c) for c in docs.columns], F.col("__entities").alias("entities" if "entities" not in docs.columns else "pii_entities"))

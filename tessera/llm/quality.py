@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import identity, materialize, small_batches
+from tessera.llm._common import identity, materialize, quoted, small_batches
 
 MIN_WORDS, MAX_REPEATED, MIN_LINE_WORDS, MIN_DOCS, SHARE, DEPLETED = 50, 0.5, 4, 10, 0.001, 0.5
 _SPACES, _SYMBOLS, _DIGITS = " \t\n\x0b\x0c\r", "#*$%&|<>", bytes.maketrans(b"0123456789", b"0" * 10)
@@ -135,7 +135,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     )
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[text.alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
 #: ``op10`` in DuckDB's SQL.

@@ -61,7 +61,7 @@ def test_both_ways_agree(spark, sf):
 
 
 def test_edges_of_the_input(spark):
-    docs = spark.createDataFrame([(1, ITEM, 1), (1, ITEM, 2), (None, ITEM, 3), (4, "w " * 100000, 4)], "doc_id long, text string, id int")
+    docs = spark.createDataFrame([(1, ITEM, 1), (1, ITEM, 2), (None, ITEM, 3), (4, "w " * 100000, 4)], "doc_id long, text string, `id.x` int")
     tests = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontam.overlaps(docs, tests).count() == 3
     assert decontam.overlaps(docs, tests.limit(0)).count() == 0

@@ -79,7 +79,7 @@ def test_redrawn_entities_reach_the_texts(spark):
 
 
 def test_edges_of_the_input(spark):
-    docs = spark.createDataFrame([(1, TEXTS[1], "a", 1), (1, TEXTS[1], "a", 1), (None, "x " * 50000 + TEXTS[2], "b", 2)], "doc_id long, text string, kind string, entity int")
+    docs = spark.createDataFrame([(1, TEXTS[1], "a", 1), (1, TEXTS[1], "a", 1), (None, "x " * 50000 + TEXTS[2], "b", 2)], "doc_id long, text string, kind string, `entity.x y` int")
     out = pii.surrogated(docs)
     assert out.columns == [*docs.columns, "entities"] and out.count() == 3
     assert pii.surrogated(docs.limit(0)).count() == 0

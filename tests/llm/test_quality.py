@@ -71,7 +71,7 @@ def test_equal_texts_count_as_one_document(spark):
 
 def test_edges_of_the_input(spark):
     rows = _corpus() + [_corpus()[3], (None, "a b c d", "h")]
-    docs = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id long, text string, source string, n_words int, key string")
+    docs = spark.createDataFrame([(*r, 7, "k") for r in rows], "doc_id long, text string, source string, n_words int, `key.of` string")
     assert quality.verdicts(docs).count() == len(rows)
     out = quality.cleaned(docs)
     assert out.columns == docs.columns
