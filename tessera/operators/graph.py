@@ -88,6 +88,20 @@ class Graph:
         other = Graph.from_edges(edges)
         return Graph(_merged(self.nodes, other.nodes, ["id"]), _merged(self.edges, other.edges, ["src", "dst", "directed"]))
 
+    def add_node(self, node: str, **props: Any) -> Graph:
+        spark = self.nodes.sparkSession
+        return self.add_nodes(spark.range(1).select(F.lit(node).alias("id"), *[F.lit(v).alias(k) for k, v in props.items()]))
+
+    def add_edge(self, u: str, v: str, directed: bool = True, **props: Any) -> Graph:
+        spark = self.nodes.sparkSession
+        ends = [F.lit(u).alias("src"), F.lit(v).alias("dst"), F.lit(directed).alias("directed")]
+        return self.add_edges(spark.range(1).select(*ends, *[F.lit(x).alias(k) for k, x in props.items()]))
+
+    def adjacency(self) -> DataFrame:
+        """(id, entries): every node with its steps as ``>v``, ``<v`` or ``-v``, in order."""
+        entries = self.arcs("both").groupBy(F.col("u").alias("id")).agg(F.array_sort(F.collect_list(F.concat("kind", "v"))).alias("entries"))
+        return self.nodes.select("id").join(entries, "id", "left").select("id", F.coalesce("entries", F.array().cast("array<string>")).alias("entries"))
+
     def add_temporal_edges(self, edges: DataFrame, expires: Column) -> Graph:
         """Edges of relation ``temporary_access`` dated to when they end; nothing removes them by itself."""
         return self.add_edges(edges.withColumns({"relation": F.lit("temporary_access"), "_mdate": expires.cast("date")}))

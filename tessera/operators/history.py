@@ -300,6 +300,14 @@ class Store:
         """All versions of a key, newest first."""
         return self.log.where((F.col("_group") == self.group) & (F.col("_id") == key)).orderBy(F.col("_ver").desc())
 
+    @property
+    def keys(self) -> KeyView:
+        return KeyView(self)
+
+    def check_version(self, low: int, high: int) -> DataFrame:
+        """Versions in a range of the write counter, history included."""
+        return self.log.where((F.col("_ver") >= low) & (F.col("_ver") < high))
+
     def changes(self, since: int) -> DataFrame:
         """The newest version of every key written since a version, tombstones included."""
         return latest(self.log.where(F.col("_ver") >= since))
@@ -350,6 +358,45 @@ class Store:
         return self
 
 
+class KeyView:
+    """Keys and metadata of a store: selects like the store, and sets dates and flags."""
+
+    META = ("_id", "_ver", "_row", "_cdate", "_mdate", "_ttl", "_flags")
+
+    def __init__(self, store: Store):
+        self._store = store
+
+    def __getitem__(self, sel: Any) -> DataFrame:
+        return self._store._selected(sel).select(*self.META)
+
+    def find(self, *args: Any, **kw: Any) -> DataFrame:
+        return self._store.view().find(*args, **kw).df.select(*self.META)
+
+    def __setitem__(self, sel: Any, day: dt.date | tuple[dt.date, dt.date]) -> None:
+        """A date sets the modified date, a datetime the created one, a pair (modified, created) both."""
+        mdate, cdate = day if isinstance(day, tuple) else (None, day) if isinstance(day, dt.datetime) else (day, None)
+        plain = lambda x: x.date() if isinstance(x, dt.datetime) else x
+        self._store.set_date(sel, plain(cdate), plain(mdate))
+
+    def set_flags(self, sel: Any, letters: str) -> int:
+        return self._store.set_flags(sel, letters)
+
+    def get_flags(self, sel: Any = slice(None)) -> DataFrame:
+        return self._store.get_flags(sel)
+
+    def __and__(self, other: Any) -> DataFrame:
+        return self._store.view() & other
+
+    def __or__(self, other: Any) -> DataFrame:
+        return self._store.view() | other
+
+    def __sub__(self, other: Any) -> DataFrame:
+        return self._store.view() - other
+
+    def __xor__(self, other: Any) -> DataFrame:
+        return self._store.view() ^ other
+
+
 def follow_links(rows: DataFrame) -> DataFrame:
     """Replace the value of link rows by their target's: one join on (group, key)."""
     link = F.col("_flags").bitwiseAND(mask("l")) != 0

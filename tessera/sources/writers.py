@@ -22,12 +22,35 @@ _PACK: dict[str, tuple[Callable, Callable]] = {"no": (bytes, bytes), "gz": (gzip
 
 
 def flat_frame(found: Collection, with_hidden: bool = False) -> DataFrame:
-    """``_id`` and one column per field; lists and mappings as JSON text."""
+    """``_id`` and one column per field; lists and mappings inside a record as JSON text.
+
+    Records that are no mappings have pseudo columns: ``__1__`` for a scalar, ``__V1__`` and so on
+    for the elements of a list.
+    """
     if not with_hidden:
         found = found.find()
-    typed = found.typed()
-    cols = [F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.col(f"`{f.name}`") for f in typed.schema.fields]
-    return typed.df.select("_id", *cols)
+    if not found.schemaless:
+        return found.df.select("_id", *[_flat(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in found.schema.fields])
+    df = found.df.select("_id", "_json", F.schema_of_variant(F.parse_json("_json")).alias("kind"))
+    mapping, several = F.col("kind").startswith("OBJECT"), F.col("kind").startswith("ARRAY")
+    shape = df.agg(
+        F.count_if(mapping).alias("mappings"), F.count_if(~mapping & ~several).alias("scalars"),
+        F.max(F.when(several, F.size(F.from_json("_json", "array<string>")))).alias("longest"),
+    ).first()
+    cols = []
+    if shape.mappings:
+        typed = Collection(df.where(mapping).select("_id", "_json")).typed().schema
+        doc = F.from_json(F.when(mapping, F.col("_json")), typed)
+        cols += [_flat(doc.getField(f.name), f.dataType).alias(f.name) for f in typed.fields]
+    if shape.scalars:
+        cols.append(F.when(~mapping & ~several, F.parse_json("_json").cast("string")).alias("__1__"))
+    items = F.from_json(F.when(several, F.col("_json")), "array<string>")
+    cols += [F.get(items, F.lit(k)).alias(f"__V{k + 1}__") for k in range(shape.longest or 0)]
+    return df.select("_id", *cols)
+
+
+def _flat(c: Column, t: T.DataType) -> Column:
+    return F.to_json(c) if isinstance(t, T.ArrayType | T.StructType | T.MapType) else c
 
 
 def to_csv(found: Collection, path: str, key: str = "_id", with_hidden: bool = False, single: bool = False) -> None:

@@ -41,6 +41,12 @@ def test_editing(spark, mini):
     assert col(g.find_nodes({"age.$gt": 4}), "id") == {"dan"}
 
 
+def test_single_additions(mini):
+    g = mini.add_node("eve", age=3).add_edge("eve", "bob", directed=False, weight=4.0)
+    assert g.has_edge("bob", "eve", directed=False) and g.get_node("eve").first().age == 3
+    assert dict(col(g.adjacency().selectExpr("id", "array_join(entries, ' ') AS e"), "id", "e"))["bob"] == "-eve <alice >charlie"
+
+
 def test_neighbourhoods(mini):
     assert col(mini.neighbors("alice"), "id") == {"bob", "charlie"}
     assert col(mini.successors("charlie"), "id") == {"alice"} and col(mini.predecessors("charlie"), "id") == {"alice", "bob"}

@@ -98,6 +98,17 @@ def test_snapshot_and_change_feed(spark, store, tmp_path):
     assert latest(store.log, at).count() == 2
 
 
+def test_key_view(store):
+    store += {"a": 1, "b": 2, "c": 3}
+    store.keys["a"] = dt.date(2020, 1, 2)
+    store.keys[lambda k: k != "a"] = (dt.date(2021, 1, 1), dt.date(2019, 1, 1))
+    store.keys["c"] = dt.datetime(2018, 1, 1)
+    got = {r._id: (r._cdate, r._mdate) for r in store.keys[:].collect()}
+    assert got == {"a": (DAY, dt.date(2020, 1, 2)), "b": (dt.date(2019, 1, 1), dt.date(2021, 1, 1)), "c": (dt.date(2018, 1, 1), dt.date(2021, 1, 1))}
+    assert store.to_dict() == {"a": 1, "b": 2, "c": 3} and store.check_version(1, 4).count() == 3
+    assert {r._id for r in (store.keys & ["a", "z"]).collect()} == {"a"} and store.keys.find(vals={"$gt": 1}).count() == 2
+
+
 def test_ttl_rules(spark):
     assert [ttl_minutes(x) for x in (None, 0, -1, 0.5, 1, 1.4, 2000, dt.timedelta(minutes=90))] == [0, 0, 0, 720, 1440, 1440, 511 * 1440, 90]
     df = spark.createDataFrame([(0, DAY, dt.datetime(2024, 5, 1, 10)), (1440, DAY, dt.datetime(2024, 5, 1, 10)), (30, DAY, dt.datetime(2024, 5, 1, 10))], "ttl int, d date, m timestamp_ntz")

@@ -22,6 +22,13 @@ def test_csv(spark, tmp_path):
     assert [r._id for r in readers.from_csv(spark, f"{tmp_path}/out", key="x").orderBy("_id").collect()] == ["1", "2"]
 
 
+def test_pseudo_columns(spark, tmp_path):
+    c = Collection.from_records(spark, {"a": {"x": 1}, "b": 7, "c": "text", "d": ["p", 2]})
+    rows = {r._id: r.asDict() for r in writers.flat_frame(c).collect()}
+    assert rows["a"]["x"] == 1 and rows["b"]["__1__"] == "7" and rows["c"]["__1__"] == "text"
+    assert (rows["d"]["__V1__"], rows["d"]["__V2__"], rows["d"]["__1__"]) == ("p", "2", None)
+
+
 def test_parquet_projection(spark, sf):
     df = readers.from_parquet(spark, f"{sf}/part.parquet", columns=["p_brand"])
     assert df.columns == ["_id", "p_brand"]
