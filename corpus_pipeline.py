@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, pii, quality, simhash
-from tessera.llm._common import identity, materialize, own_columns, table
+from tessera.llm._common import identity, materialize, own_columns, path_of, remove_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each over a written table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order, each over a written table; a table goes once its successor is written."""
+    docs, old = table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if old:
+            remove_path(spark, old)
+        old = path_of(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
