@@ -70,7 +70,7 @@ class Store:
 
     def version(self) -> int:
         """The next value of the write counter."""
-        return (self.log.agg(F.max("_ver")).first()[0] or 0) + 1 if not self.log.isEmpty() else 1
+        return (self.log.agg(F.max("_ver")).first()[0] or 0) + 1
 
     def records(self, version: int | None = None) -> DataFrame:
         return live(self.log, version).where(F.col("_group") == self.group)
