@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, packing, pii, quality, simhash
+from tessera.llm import decontam, minhash, packing, pii, quality
 from tessera.llm._common import identity, materialize, own_columns, path_of, remove_path, table
 
 
@@ -20,16 +20,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id.
+    """Keep one document of each group of near copies (five-word Jaccard similarity of 0.8 or more): the one with the smallest id.
 
     Of rows that share that id, the one with the smallest identity stays, once. A group without
     any id keeps its row of smallest identity.
     """
     text = F.col("text").cast("string")
-    slim = docs.select(identity("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    base = materialize(simhash.fingerprints(slim, "doc_id", "text", carry=["key"]), "stage-prints")
-    named = materialize(simhash.components(base), "stage-components")
-    firsts = base.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("id"), identity("doc_id", "text").alias("key"), text.alias("text"))
+    base, roots = minhash.groups(slim)
+    roots = materialize(roots, "stage-components")
+    named = base.join(roots, "body", "left").withColumn("root", F.coalesce("root", "body"))
+    firsts = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     firsts = materialize(firsts.select(F.col("first.key").alias("__k")), "stage-firsts")
     kept = docs.withColumn("__key", identity("doc_id", "text"))
     kept = kept.join(firsts, F.col("__key") == F.col("__k"), "left_semi")
