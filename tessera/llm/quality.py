@@ -48,7 +48,7 @@ def measure(text: str | None) -> tuple:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines, hashes, chars) of a text.
 
     lines, hashes and chars: index, 64-bit hash in normal form (ASCII lower case, one space
-    between words, every digit 0) and word characters of each line of MIN_LINE_WORDS words or more.
+    between words, every digit 0) and word characters of each line that holds a word.
     """
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -57,7 +57,7 @@ def measure(text: str | None) -> tuple:
     at, hashes, chars = [], [], []
     for k, line in enumerate(lines):
         raw = line.encode("utf-8", "surrogatepass").split()
-        if len(raw) >= MIN_LINE_WORDS:
+        if raw:
             at.append(k)
             hashes.append(xxhash.xxh64_intdigest(b" ".join(raw).lower().translate(_DIGITS)) - (1 << 63))
             chars.append(len(line) - sum(map(line.count, _SPACES)))
@@ -138,7 +138,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return out.select(*[text.alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
-#: ``op10`` in DuckDB's SQL.
+#: ``op10`` in DuckDB's SQL; unlike the operator it leaves lines of fewer than MIN_LINE_WORDS words out.
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS no_text, coalesce(source, '') AS host FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),

@@ -63,6 +63,19 @@ def test_frequent_lines(spark):
     assert "subscribe" in cleaned[0] and "subscribe" not in cleaned[5] and "subscribe" in cleaned[200]
 
 
+def test_short_lines_count(spark):
+    letters = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    menu = "\n".join(["home", "about us", "read more here"] * 30)
+    rows = [(k, " ".join(f"w{letters(k)}x{letters(j)}" for j in range(60)) + "\nhome\nread more here", "host") for k in range(30)]
+    rows += [(100, " ".join(f"v{letters(j)}" for j in range(60)) + f"\n{menu}", "host")] + [(200 + k, f"{menu}\nown{letters(k)}", "host") for k in range(12)]
+    out = {r.id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0].gone is None and all(out[k].gone == [1, 2] and out[k].kept for k in range(1, 30))
+    menus = [out[200 + k] for k in range(12)]
+    assert all(r.lost > 0.5 * r.word_chars and not r.kept for r in menus)
+    cleaned = {r.doc_id: r.text for r in quality.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert "home" in cleaned[0] and "home" not in cleaned[5]
+
+
 def test_equal_texts_count_as_one_document(spark):
     text = "the very same line of text here " * 3
     docs = spark.createDataFrame([(k, f"{text}\n" + " ".join(f"u{j}" for j in range(60)), "h") for k in range(40)], "doc_id long, text string, source string")
