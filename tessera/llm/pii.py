@@ -27,8 +27,8 @@ PATTERNS = {
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Господин|Госпожа|господин|госпожа)\.?\x20\p{Lu}\p{Ll}{1,30}+(?:\x20\p{Lu}\p{Ll}{1,30}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What any entity holds; texts without it are passed over.
-HINT = r"@|\d{3}|\d\.\d|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|осподин|оспожа)\.?\x20"
+#: What any entity of PATTERNS holds; texts without it are passed over.
+HINT = r"@|\d{3}|\+\d|\d\.\d|(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora?|осподин|оспожа)\.?\x20"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Госпожа|госпожа)"
 TITLE = r"^(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|[Гг]осподин|[Гг]оспожа)\.?\x20"
 # Given names by script and gender, and syllables of surnames by script.

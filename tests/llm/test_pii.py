@@ -42,6 +42,20 @@ def test_replacements(spark):
     assert out[7].text.endswith("!!\n\nTwo  spaces, ünïcode.")
 
 
+def test_numbers_in_groups_of_two(spark):
+    out = run(spark, {1: "ring +47 22 85 50 50 now", 2: "ring +32 16 32 10 22 now", 3: "ring +33 12 34 56 78 now", 4: "1 + 1 is 2"})
+    assert all([e.kind for e in out[k].entities] == ["phone"] for k in (1, 2, 3)) and out[4].entities == []
+    assert not any(x in out[k].text for k, x in ((1, "22 85 50"), (2, "16 32 10"), (3, "12 34 56")))
+
+
+def test_every_match_holds_a_hint(spark):
+    one = ["a@b.example.com", "é@x.co", "1.2.3.4", "10.0.0.1", "4111 1111 1111 1111", "4111-1111-1111-1", "123-45-6789", "(12) 345 6789", "123 456 7890", "+1 (22) 345-6789", "+1 22 33", "+123-45-67", "+47 22 85 50 50", "+12345", "+1.22.33"]
+    titles = ["Mr", "Mrs", "Ms", "Miss", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Господин", "Госпожа", "господин", "госпожа"]
+    one += [f"{t}{dot} {n}" for t in titles for dot in ("", ".") for n in ("Ab", "Яб")]
+    row = spark.createDataFrame([(x,) for x in one], "t string").select("t", F.col("t").rlike(pii.ANY).alias("found"), F.col("t").rlike(pii.HINT).alias("hint"))
+    assert all(r.found and r.hint for r in row.collect())
+
+
 def test_coreference_and_distinctness(spark):
     out = run(spark)
     digits = lambda s: re.sub(r"\D", "", s)
