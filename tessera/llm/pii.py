@@ -101,7 +101,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
 
     def name(script: str) -> Column:
         given = F.when(value.startswith("f "), _pick(GIVEN[script, "f"], _draw(seed, 0, 16))).otherwise(_pick(GIVEN[script, "m"], _draw(seed, 0, 16)))
-        last = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: _pick(SYLLABLES[script], _draw(seed, i, 16))), "")
+        # One syllable more for each new draw: the names to draw from never run out.
+        last = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4) + attempt), lambda i: _pick(SYLLABLES[script], _draw(seed, i, 16))), "")
         return F.when(F.regexp_replace(value, "^[fm] ", "").contains(" "), F.concat(given, F.lit(" "), F.initcap(last))).otherwise(F.initcap(last))
 
     names = F.when(value.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))

@@ -86,6 +86,12 @@ def test_collisions_draw_again(spark):
     assert again.count() > 0 and len(set(got)) == 40 and not set(got) & {f"{n:02d}" for n in range(40)}
 
 
+def test_more_names_than_short_surnames(spark):
+    people = spark.range(70_000).select(F.lit("name").alias("kind"), F.concat(F.lit("m x"), F.col("id")).alias("value"))
+    both = people.join(pii.redrawn(people), ["kind", "value"], "left").na.fill(0, ["attempt"])
+    assert both.select(pii.surrogate(F.col("kind"), F.col("value"), F.col("attempt")).alias("s")).distinct().count() == 70_000
+
+
 def test_redrawn_entities_reach_the_texts(spark):
     rows = {k: f"call 555-{k:04d} now" for k in range(300)}
     out = run(spark, rows)
