@@ -4,11 +4,13 @@ A mask such as ``1101011`` reads only the token positions marked 1, so a passage
 words still shares seeds with its source. Seeds of the test items and of the training texts are
 joined on (mask, hash); each hit fixes a diagonal (an alignment without gaps), on which the
 overlap is verified: some window of WINDOW aligned tokens (the whole item where it is shorter)
-must agree in at least SIMILARITY of its positions.
+must agree in at least SIMILARITY of its positions. Items shorter than WINDOW have masks of their
+own, one of which is free of any mismatches that this allows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ WINDOW, SIMILARITY, MIN_TOKENS = 13, 0.8, 5
 #: Bytes of item text up to which the index is sent to every task; beyond, seeds are shuffled.
 BROADCAST_BYTES = 16 << 20
 _TOKEN = re.compile(r"\w+")
-_GAP = max(map(len, MASKS))
+_GAP = max(WINDOW, *map(len, MASKS))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,12 +54,27 @@ def seeds(a: np.ndarray, mask: str) -> np.ndarray:
     return np.where(known, out | np.uint64(1), np.uint64(0))
 
 
+def short_masks(n: int) -> list[tuple[str, int]]:
+    """(mask, position) for an item of ``n`` < WINDOW tokens.
+
+    At most d tokens may differ; of d + 2 blocks each mask leaves out d, so that some mask reads
+    none of the differing tokens. Below MIN_TOKENS no token may differ.
+    """
+    d = int(n * (1 - SIMILARITY) + 1e-9)
+    bounds = [k * n // (d + 2) for k in range(d + 3)]
+    out = []
+    for left in itertools.combinations(range(d + 2), d):
+        mask = "".join("0" if k in left else "1" for k in range(d + 2) for _ in range(bounds[k], bounds[k + 1]))
+        out.append((mask.strip("0"), len(mask) - len(mask.lstrip("0"))))
+    return out
+
+
 def item_seeds(a: np.ndarray) -> list[tuple[np.uint64, int]]:
-    """(hash, position) of an item's seeds; an item shorter than every mask is one whole seed."""
-    if len(a) < MIN_TOKENS:
+    """(hash, position) of an item's seeds."""
+    if not len(a):
         return []
-    if len(a) < min(map(len, MASKS)):
-        return [(seeds(a, "1" * len(a))[0], 0)]
+    if len(a) < WINDOW:
+        return [(seeds(a[k : k + len(m)], m)[0], k) for m, k in short_masks(len(a))]
     return [(h, k) for m in MASKS for k, h in enumerate(seeds(a, m)) if h]
 
 
@@ -76,8 +93,9 @@ def _slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return slim.select(identity("id", "text").alias("key"), "id", "text")
 
 
-def _whole_lengths(items: list[np.ndarray]) -> list[str]:
-    return sorted({"1" * len(a) for a in items if MIN_TOKENS <= len(a) < min(map(len, MASKS))})
+def _masks(lengths: set[int]) -> list[str]:
+    """The masks that items of these lengths need."""
+    return [*MASKS, *sorted({m for n in lengths if 0 < n < WINDOW for m, _ in short_masks(n)} - set(MASKS))]
 
 
 def _by_broadcast(slim: DataFrame, items: list[tuple[int | None, str]]) -> DataFrame:
@@ -86,7 +104,7 @@ def _by_broadcast(slim: DataFrame, items: list[tuple[int | None, str]]) -> DataF
     arrays = [np.array([vocabulary[w] for w in ws], np.uint64) for ws in words]
     index = sorted((int(h), n, k) for n, a in enumerate(arrays) for h, k in item_seeds(a))
     sent = slim.sparkSession.sparkContext.broadcast(
-        (vocabulary, arrays, [i for i, _ in items], np.array([x[0] for x in index], np.uint64), np.array([x[1:] for x in index], np.int64).reshape(-1, 2), [*MASKS, *_whole_lengths(arrays)])
+        (vocabulary, arrays, [i for i, _ in items], np.array([x[0] for x in index], np.uint64), np.array([x[1:] for x in index], np.int64).reshape(-1, 2), _masks(set(map(len, arrays))))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +148,13 @@ def _by_broadcast(slim: DataFrame, items: list[tuple[int | None, str]]) -> DataF
 def _by_shuffle(slim: DataFrame, tests: DataFrame) -> DataFrame:
     """The same result where the items are too many to send: both sides' seeds are shuffled."""
 
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens(t)) for t in batch.column(2).to_pylist()], pa.int64())], names=["n"])
+
+    short = tests.mapInArrow(lengths, "n long").where(F.col("n") < WINDOW).distinct()
+    masks = _masks({r.n for r in short.collect()})
+
     def emit(items: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -139,7 +164,6 @@ def _by_shuffle(slim: DataFrame, tests: DataFrame) -> DataFrame:
                         found = item_seeds(a)
                         h, k = np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64)
                     else:
-                        masks = [*MASKS, *("1" * n for n in range(MIN_TOKENS, min(map(len, MASKS))))]
                         each = [seeds(a, m) for m in masks]
                         h, k = np.concatenate(each), np.concatenate([np.arange(len(x)) for x in each])
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key)), pa.array(k, pa.int64())], names=["hash", "key", "at"])
@@ -166,7 +190,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     """(key, id, item_id, matched, item_tokens): each pair of a row of ``docs`` and an item it holds.
 
     Nulls: a null text has no tokens and holds nothing; a null id is carried. Items of fewer than
-    MIN_TOKENS tokens are no evidence and never match. Repeated rows give repeated pairs. Empty
+    MIN_TOKENS tokens match only in full. Repeated rows give repeated pairs. Empty
     tables give no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -76,3 +78,21 @@ def test_masks_ignore_positions():
     b[2] = 999
     assert decontam.seeds(a, "110111")[0] == decontam.seeds(b, "110111")[0]
     assert decontam.seeds(a, "111111")[0] != decontam.seeds(b, "111111")[0]
+
+
+@pytest.mark.parametrize("size", [decontam.BROADCAST_BYTES, 0])
+def test_short_items_with_replaced_words(spark, size):
+    words = [f"tok{k}" for k in range(12)]
+    items = {n: " ".join(f"{w}n{n}" for w in words[:n]) for n in range(1, 13)}
+    docs, want = [], set()
+    for n, item in items.items():
+        for d in range(3):
+            for at in itertools.combinations(range(n), d):
+                text = " ".join(f"other{k}" if k in at else w for k, w in enumerate(item.split()))
+                for text in (text, f"{FILL} {text} {FILL}"):
+                    docs.append((len(docs), text))
+                    if d <= n / 5:
+                        want.add((docs[-1][0], n))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.id, r.item_id) for r in decontam.overlaps(frame, tests, broadcast_bytes=size).collect()} == want
