@@ -1,6 +1,6 @@
 """URL filter by association rules.
 
-URLs become sets of tokens (host labels, path words, query keys; numbers are left out). FP-growth
+URLs become sets of tokens (host labels, path words, query keys; tokens of digits alone are left out). FP-growth
 over the labelled pages mines token combinations together with the item BAD; rules "tokens imply
 BAD" are pruned by support, confidence and lift. Matching uses an inverted index: each rule is
 filed under its rarest token, so a URL meets only the rules filed under one of its tokens, and
@@ -41,8 +41,9 @@ def hand_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: ``h:`` host labels and their dashed parts, ``p:`` path words, ``q:`` query keys."""
-    keep = lambda a, mark: F.transform(F.filter(a, lambda x: x.rlike(r"^[^0-9]") & (F.length(x) < 64)), lambda x: F.concat(F.lit(mark), x))
+    """Distinct tokens: ``h:`` host labels and their dashed parts, ``p:`` path words, ``q:`` query keys; long ones by their hash."""
+    short = lambda x: F.when(F.length(x) < 64, x).otherwise(F.concat(F.lit("#"), F.hex(F.xxhash64(x))))
+    keep = lambda a, mark: F.transform(F.filter(a, lambda x: x.rlike("[^0-9]")), lambda x: F.concat(F.lit(mark), short(x)))
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
     return F.array_distinct(
         F.concat(

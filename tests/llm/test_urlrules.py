@@ -2,6 +2,7 @@ import itertools
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import queries, urlrules
 
@@ -84,6 +85,18 @@ def test_rules_decide(spark):
     assert all(out[i] == ("allow" if g else "block") for i, _, g in labelled())
 
 
+def test_tokens_with_digits_and_long_ones(spark):
+    long = "a" * 80
+    bad = ["1xbet", "888casino", "123movies", "4chan", long]
+    rows = [(k, f"http://{bad[k % 5]}.site{k}.net/1{k}", 0) for k in range(100)] + [(100 + k, f"http://news{k}.net/2024/{k}", 1) for k in range(300)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(900 + k, f"http://{x}.new.net/y") for k, x in enumerate(bad)] + [(990, "http://2024.new.net/y")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    out = {r.id: r.verdict for r in urlrules.judged(pages, labels).collect()}
+    assert all(out[900 + k] == "block" for k in range(5)) and out[990] == "allow"
+    found = spark.createDataFrame([(f"http://1xbet.com/2024/{long}?7=1",)], "url string").select(urlrules.tokens(F.col("url"))).first()[0]
+    assert "h:1xbet" in found and not any(t in ("p:2024", "q:7") for t in found) and len(found) == 3
+
+
 def test_edges_of_the_input(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c"), (1, "http://a.b/c"), (None, None), (2, "http://h/" + "x/" * 40000)], "page_id long, url string")
     labels = spark.createDataFrame([(1, None, None), (1, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
