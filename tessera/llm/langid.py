@@ -3,16 +3,16 @@
 Each language has a variable-order context tree over bytes (at most ORDER bytes of context). A
 byte seen in a context costs -log2(c / (n + d)) bits, n being the context's count and d its
 distinct bytes; another one costs the escape -log2(d / (n + d)) and is then coded in the next
-shorter context, down to a uniform code. The statistics are frozen after training, so a byte's
-whole cost depends on its last ORDER bytes alone, and each tree is laid out as a table of code
-lengths; a text's exact code length is a sum of look-ups. The language of the shortest code wins.
-
-Bytes are folded to 64 symbols first: ASCII letters to lower case, digits to one, white space to
-one, other ASCII to one, and the most frequent bytes beyond ASCII to one each.
+shorter context, down to a uniform code of 8 bits. The statistics are frozen after training, so a
+byte's whole cost depends on its last ORDER bytes alone. A tree is kept as sorted arrays of the
+contexts and grams it has seen, some 12 bytes each, whatever the number of languages or scripts;
+the distinct grams of a batch are looked up once for each language, and a text's exact code length
+is a sum over its bytes. The language of the shortest code wins.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,147 +22,138 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import materialize, small_batches
 
-ORDER, BITS, UNIT = 3, 6, 512
+ORDER, BYTE, START = 3, 8, 32
 #: At most about so many documents of each language are learned from (a hash of the id decides which).
 MAX_TRAIN = 2000
-#: With more languages than this the trees have one order less, so that tables stay below 300 MB.
-WIDE = 8
 HELD_OUT = 2
-_SPACE, _DIGIT, _OTHER, _LETTER, _FREE = 0, 1, 2, 3, 29
-_tables: dict[str, np.ndarray] = {}
-
+#: Bytes scored together; a matter of memory only.
+CHUNK = 1 << 21
+_LATIN = re.compile("[A-Za-z]")
+Tree = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
-def folding(frequent: list[int]) -> np.ndarray:
-    """Symbol of each byte; ``frequent`` are the bytes beyond ASCII with symbols of their own."""
-    fold = np.full(256, 63, np.uint8)
-    fold[:128] = _OTHER
-    fold[[9, 10, 11, 12, 13, 32]] = _SPACE
-    fold[48:58] = _DIGIT
-    fold[65:91] = fold[97:123] = np.arange(_LETTER, _LETTER + 26)
-    for k, b in enumerate(frequent[: 63 - _FREE]):
-        fold[b] = _FREE + k
-    return fold
 
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, ends): each byte with the ORDER before it, for all texts of a column.
 
-def grams(column: pa.Array, fold: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, starts, lengths): code of each byte with its context, for all texts of a column."""
+    A text starts in the context of ORDER spaces; a null is an empty text.
+    """
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
     lengths = np.diff(offsets).astype(np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else np.zeros(0, np.int64)
-    symbols = np.full(lengths.sum() + order * len(lengths), _SPACE, np.uint32)
-    for k, (a, n, s) in enumerate(zip(offsets[:-1].tolist(), lengths.tolist(), starts.tolist(), strict=True)):
-        at = s + order * (k + 1)
-        symbols[at : at + n] = fold[data[a : a + n]]
+    starts = np.cumsum(lengths) - lengths + ORDER * np.arange(1, len(lengths) + 1)
+    symbols = np.full(lengths.sum() + ORDER * len(lengths), START, np.uint32)
+    for a, n, s in zip(offsets[:-1].tolist(), lengths.tolist(), starts.tolist(), strict=True):
+        symbols[s : s + n] = data[a : a + n]
     codes = symbols.copy()
-    for back in range(1, order + 1):
-        codes[back:] |= symbols[:-back] << np.uint32(BITS * back)
-    return codes, starts + order * np.arange(1, len(lengths) + 1), lengths
-
-
-def code_lengths(gram: np.ndarray, count: np.ndarray, order: int) -> np.ndarray:
-    """One language's table: bits * UNIT for each code of ``order`` + 1 symbols."""
-    size = 1 << BITS
-    cost = np.full((1, size), float(BITS), np.float32)
-    for k in range(order + 1):
-        keys, back = np.unique(gram & ((1 << (BITS * (k + 1))) - 1), return_inverse=True)
-        n = np.bincount(back, count)
-        context, row = np.unique(keys >> BITS, return_inverse=True)
-        seen = np.zeros((len(context), size))
-        seen[row, keys & (size - 1)] = n
-        total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-        shorter = cost[context & ((1 << (BITS * max(0, k - 1))) - 1)]
-        own = np.where(seen > 0, -np.log2(np.maximum(seen, 1) / (total + kinds)), -np.log2(kinds / (total + kinds)) + shorter)
-        longer = max(1, (1 << (BITS * k)) // len(cost))
-        cost = np.broadcast_to(cost, (longer, *cost.shape)).reshape(-1, size).copy()
-        cost[context] = own
-    return np.minimum(np.round(cost.ravel() * UNIT), 32767).astype(np.int16)
+    for back in range(1, ORDER + 1):
+        codes[back:] |= symbols[:-back] << np.uint32(BYTE * back)
+    return codes, starts, starts + lengths
+
+
+def tree(gram: np.ndarray, count: np.ndarray) -> Tree:
+    """From the longest context to the empty one: (grams, their cost, contexts, their escape's cost)."""
+    out = []
+    for k in range(ORDER, -1, -1):
+        keys, back = np.unique(gram & np.uint32((1 << BYTE * (k + 1)) - 1), return_inverse=True)
+        seen = np.bincount(back, count)
+        contexts, row = np.unique(keys >> np.uint32(BYTE), return_inverse=True)
+        total, kinds = np.bincount(row, seen), np.bincount(row)
+        out.append((keys, -np.log2(seen / (total + kinds)[row]), contexts, -np.log2(kinds / (total + kinds))))
+    return out
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each wanted value in sorted keys."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def code_lengths(tree: Tree, gram: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each gram."""
+    out, left, codes = np.zeros(len(gram)), np.arange(len(gram)), gram
+    for k, (keys, cost, contexts, escape) in zip(range(ORDER, -1, -1), tree, strict=True):
+        codes = codes & np.uint32((1 << BYTE * (k + 1)) - 1)
+        at, hit = _found(keys, codes)
+        out[left[hit]] += cost[at[hit]]
+        left, codes = left[~hit], codes[~hit]
+        at, known = _found(contexts, codes >> np.uint32(BYTE))
+        out[left[known]] += escape[at[known]]
+    out[left] += BYTE
+    return out
+
+
+def text_bits(trees: list[Tree], column: pa.Array) -> np.ndarray:
+    """Code length of each text (rows) under each tree (columns)."""
+    codes, starts, ends = grams(column)
+    bits = np.zeros((len(starts), len(trees)))
+    for low in range(0, len(codes), CHUNK):
+        part = codes[low : low + CHUNK]
+        kinds, back = np.unique(part, return_inverse=True)
+        first, last = (np.clip(x - low, 0, len(part)) for x in (starts, ends))
+        for k, t in enumerate(trees):
+            upto = np.concatenate(([0.0], np.cumsum(code_lengths(t, kinds)[back])))
+            bits[:, k] += upto[last] - upto[first]
+    return bits
 
 
 def _held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
-def trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN) -> tuple[list[str], int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(languages, order, folding, language, gram, count) learned from a bounded sample."""
+def trained(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN) -> dict[str, Tree]:
+    """Languages, in alphabetical order, with their trees, learned from a bounded sample.
+
+    Only languages with a text of some length among the rows to learn from are learned.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~_held_out(F.col("id")))
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~_held_out(F.col("id")))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     names = sorted(counts)
-    order = ORDER if len(names) <= WIDE else ORDER - 1
     if not names:
-        return [], order, folding([]), *(np.zeros(0, np.int64) for _ in range(3))
+        return {}
     share = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, max_train / counts[n]))])
     drawn = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
     place = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)])
-    sample = materialize(rows.where(drawn & F.col("text").isNotNull()).select("text", F.element_at(place, F.col("lang")).alias("k")), "sample")
-
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["b", "n"])
-
-    seen = sample.select("text").mapInArrow(bytes_of, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).where("b > 127 and n > 0").collect()
-    fold = folding([r.b for r in sorted(seen, key=lambda r: (-r.n, r.b))])
+    sample = materialize(rows.where(drawn).select("text", F.element_at(place, F.col("lang")).alias("k")), "sample")
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, starts, lengths = grams(batch.column(0), fold, order)
-            own = np.repeat(batch.column(1).to_numpy().astype(np.int64), lengths)
-            at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            both, n = np.unique(own << 32 | codes[at].astype(np.int64), return_counts=True)
+            codes, starts, ends = grams(batch.column(0))
+            own = np.full(len(codes), -1, np.int64)
+            for s, e, k in zip(starts.tolist(), ends.tolist(), batch.column(1).to_pylist(), strict=True):
+                own[s:e] = k
+            inside = own >= 0
+            both, n = np.unique(own[inside] << 32 | codes[inside].astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(n)], names=["g", "n"])
 
     found = sample.mapInArrow(count_grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
     g, n = found.column("g").to_numpy(), found.column("n").to_numpy()
-    return names, order, fold, (g >> 32).astype(np.uint16), (g & 0xFFFFFFFF).astype(np.uint32), n.astype(np.int64)
+    own, gram = g >> 32, (g & 0xFFFFFFFF).astype(np.uint32)
+    return {name: tree(gram[own == k], n[own == k]) for k, name in enumerate(names) if (own == k).any()}
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
     """(id, held_out, lang_pred, score) for every row of ``docs``.
 
     score is the language's share of the posterior, 2**-bits over the sum of all languages'.
-    Nulls: a null text, like one without a letter, is ``und`` with score 0; rows without an id or a
-    language are not learned from; a null id is not held out. Repeated rows are predicted each.
-    Ties go to the first language in alphabetical order. With nothing to learn from all is ``und``.
-    Other columns are not read.
+    Nulls: a null text, like one without a letter, is ``und`` with score 0; rows without an id, a
+    text or a language are not learned from; a null id is not held out. Repeated rows are
+    predicted each. Ties go to the first language in alphabetical order. With nothing to learn
+    from all is ``und``. Other columns are not read.
     """
     small_batches(docs.sparkSession)
-    model = trained(docs, id_col, text_col, lang_col, max_train)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(trained(docs, id_col, text_col, lang_col, max_train))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(_held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    token = f"{docs.sparkSession.sparkContext.applicationId}-{sent._jbroadcast.id() if sent._jbroadcast else id(sent)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, order, fold, lang, gram, count = sent.value
-        if token not in _tables:
-            _tables.clear()
-            table = np.zeros((1 << (BITS * (order + 1)), max(1, len(names))), np.int16)
-            for k in range(len(names)):
-                table[:, k] = code_lengths(gram[lang == k].astype(np.int64), count[lang == k], order)
-            _tables[token] = table
-        table = _tables[token]
-        ascii_letter = np.zeros(256, bool)
-        ascii_letter[_LETTER : _LETTER + 26] = True
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = batch.column(2)
-                codes, starts, lengths = grams(texts, fold, order)
-                bits = np.zeros((len(lengths), table.shape[1]))
-                letters = np.zeros(len(lengths), bool)
-                for k, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-                    own = codes[s : s + n]
-                    bits[k] = table[own].sum(axis=0, dtype=np.int64)
-                    letters[k] = ascii_letter[own & 63].any()
-                for k in np.flatnonzero(~letters):
-                    letters[k] = any(map(str.isalpha, texts[k].as_py()))
-                known = letters & bool(names)
-                best = bits.argmin(axis=1)
-                share = 1 / np.exp2((bits.min(axis=1, keepdims=True) - bits) / UNIT).sum(axis=1)
-                pred = [names[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0))], names=["id", "held_out", "lang_pred", "score"])
+        names, trees = list(sent.value), list(sent.value.values())
+        for batch in batches:
+            letters = [bool(_LATIN.search(t)) or any(map(str.isalpha, t)) for t in batch.column(2).to_pylist()]
+            known = np.array(letters, bool) & bool(names)
+            bits = text_bits(trees, batch.column(2)) if names else np.zeros((len(known), 1))
+            best = bits.argmin(axis=1)
+            share = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
+            pred = [names[b] if ok else "und" for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.where(known, share, 0.0))], names=["id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double")

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 
 import numpy as np
@@ -8,24 +9,27 @@ import pyarrow as pa
 from tessera.llm import langid, queries
 
 
-def brute_bits(train, text, fold, order):
-    """Exact code length under frozen counts, by walking from the longest context down."""
+def brute_counts(train, order=langid.ORDER):
     counts = [{} for _ in range(order + 1)]
     for t in train:
-        s = [0] * order + [int(fold[b]) for b in t.encode()]
+        s = b" " * order + t.encode()
         for p in range(order, len(s)):
             for k in range(order + 1):
-                ctx = tuple(s[p - k : p])
-                counts[k].setdefault(ctx, {}).setdefault(s[p], 0)
-                counts[k][ctx][s[p]] += 1
-    s = [0] * order + [int(fold[b]) for b in text.encode()]
+                seen = counts[k].setdefault(s[p - k : p], {})
+                seen[s[p]] = seen.get(s[p], 0) + 1
+    return counts
+
+
+def brute_bits(counts, text, order=langid.ORDER):
+    """Exact code length under frozen counts, by walking from the longest context down."""
+    s = b" " * order + text.encode()
     bits = 0.0
     for p in range(order, len(s)):
         for k in range(order, -2, -1):
             if k < 0:
-                bits += langid.BITS
+                bits += 8
                 break
-            seen = counts[k].get(tuple(s[p - k : p]))
+            seen = counts[k].get(s[p - k : p])
             if not seen:
                 continue
             n, d = sum(seen.values()), len(seen)
@@ -36,18 +40,53 @@ def brute_bits(train, text, fold, order):
     return bits
 
 
-def test_tables_give_exact_code_lengths():
-    train = ["the cat sat on the mat", "a cat and a hat é", "zzz 123"]
-    fold = langid.folding([0xC3, 0xA9])
-    for order in (1, 2, 3):
-        codes, starts, lengths = langid.grams(pa.array(train), fold, order)
-        at = np.concatenate([codes[s : s + n] for s, n in zip(starts, lengths)])
-        gram, count = np.unique(at.astype(np.int64), return_counts=True)
-        table = langid.code_lengths(gram, count, order)
-        for text in ("the hat", "qqq é!", "catcat 9", ""):
-            c, s, n = langid.grams(pa.array(["pad", text]), fold, order)
-            got = table[c[s[1] : s[1] + n[1]]].sum(dtype=np.int64) / langid.UNIT
-            assert abs(got - brute_bits(train, text, fold, order)) <= len(text.encode()) / langid.UNIT + 1e-9
+def test_exact_code_lengths(monkeypatch):
+    train = ["the cat sat on the mat", "a cat and a hat é", "zzz 123", "日本語のテキスト"]
+    codes, starts, ends = langid.grams(pa.array(train))
+    gram, count = np.unique(np.concatenate([codes[s:e] for s, e in zip(starts, ends)]), return_counts=True)
+    made, counts = langid.tree(gram, count), brute_counts(train)
+    texts = ["pad", "the hat", "qqq é!", "", "catcat 9", "日本 本", "Ж"]
+    for chunk in (langid.CHUNK, 5):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        got = langid.text_bits([made], pa.array(texts).slice(1))[:, 0]
+        assert np.allclose(got, [brute_bits(counts, t) for t in texts[1:]], atol=1e-8)
+
+
+def test_query_against_brute_force(spark, sf):
+    """Predictions and scores of the whole query, recomputed from plain dictionaries."""
+    out = queries.op9_langid(spark, sf).toPandas().set_index("doc_id")
+    docs = pd.read_parquet(f"{sf}/documents.parquet").set_index("doc_id")
+    learn = docs[np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in docs.index]) & docs.lang.notna() & (docs.text.fillna("") != "")]
+    models = {n: brute_counts(learn.text[learn.lang == n]) for n in sorted(learn.lang.unique())}
+    for i, text in docs.text.items():
+        text = text or ""
+        if not any(map(str.isalpha, text)):
+            assert (out.lang_pred[i], out.score[i]) == ("und", 0)
+        elif len(text) < 1500:
+            bits = {n: brute_bits(m, text) for n, m in models.items()}
+            best = min(bits.values())
+            assert bits[out.lang_pred[i]] <= best + 1e-6
+            assert abs(out.score[i] - 1 / sum(2 ** (best - b) for b in bits.values())) <= 1e-6
+
+
+def test_twelve_languages_in_three_scripts(spark):
+    """The order and the bytes are the same for any number of languages and scripts."""
+    rng = random.Random(2)
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
+    docs, truth = [], {}
+    for k in range(12):
+        syllables = ["".join(rng.choices(scripts[k % 3], k=2)) for _ in range(40)]
+        for j in range(40):
+            text = " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 4))) for _ in range(30))
+            i = 100 * k + j
+            held = zlib.crc32(str(i).encode()) % 4 == 2
+            truth[i] = f"l{k:02}"
+            docs.append((i, text, None if held else truth[i]))
+    docs += [(5000, "x", "junk"), (5001, None, "empty"), (5002, "", "void")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    out = {r.id: r.lang_pred for r in langid.identified(frame).collect()}
+    assert all(out[i] == n for i, n in truth.items())
+    assert not {"empty", "void"} & set(langid.trained(frame, "doc_id", "text", "lang"))
 
 
 def test_held_out_accuracy(spark):
@@ -76,5 +115,6 @@ def test_edges_of_the_input(spark):
 
 def test_the_sample_is_bounded(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'some words' AS text", "'en' AS lang")
-    *_, count = langid.trained(docs, "doc_id", "text", "lang", max_train=200)
-    assert 100 * 10 < count.sum() < 320 * 10
+    made = langid.trained(docs, "doc_id", "text", "lang", max_train=200)
+    escape = made["en"][-1][3][0]  # d / (n + d) of the empty context, with 8 distinct bytes
+    assert 100 * 10 < 8 * 2**escape - 8 < 320 * 10
