@@ -78,8 +78,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def identity(*names: str) -> Column:
-    """64-bit identity of a row's values; nulls and empty strings differ."""
-    return F.xxhash64(*[x for n in names for x in (F.col(n), F.col(n).isNull())])
+    """128-bit identity of a row's values, as 32 hex digits; nulls and empty strings differ."""
+    parts = [x for n in names for x in (F.col(n), F.col(n).isNull())]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(*seed, *parts)), 16, "0") for seed in ([], [F.lit("second")])])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -83,7 +83,7 @@ def prints(docs: DataFrame) -> DataFrame:
                 names=["id", "key", "body", "n", "bands", "sig"],
             )
 
-    return docs.select("id", "key", "text").mapInArrow(run, "id long, key long, body long, n long, bands array<long>, sig binary")
+    return docs.select("id", "key", "text").mapInArrow(run, "id long, key string, body long, n long, bands array<long>, sig binary")
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:

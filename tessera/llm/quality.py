@@ -93,7 +93,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                 names=["key", "id", "host", "body", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "at", "line", "chars"],
             )
 
-    return slim.mapInArrow(run, f"key long, id long, host string, body long, {_COLUMNS}, at array<int>, line array<long>, chars array<int>")
+    return slim.mapInArrow(run, f"key string, id long, host string, body long, {_COLUMNS}, at array<int>, line array<long>, chars array<int>")
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -126,11 +126,10 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     enough by its true size, else the rows are joined by their identity.
     """
     acts = verdicts(docs, id_col, text_col, host_col).where(~F.col("kept") | F.col("gone").isNotNull())
-    acts = acts.groupBy("key", "id").agg(F.first("gone").alias("__gone"), F.first("kept").alias("__kept"))
-    acts = materialize(acts.select(F.col("key").alias("__k"), F.col("id").alias("__i"), "__gone", "__kept"), "acts")
-    marked = docs.select("*", F.struct(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host")).alias("__d"))
-    own = F.xxhash64(*[x for n in ("id", "text", "host") for x in (F.col(f"__d.{n}"), F.col(f"__d.{n}").isNull())])
-    out = marked.withColumn("__key", own).join(acts, (F.col("__key") == F.col("__k")) & F.col("__d.id").eqNullSafe(F.col("__i")), "left")
+    acts = acts.groupBy("key").agg(F.first("gone").alias("__gone"), F.first("kept").alias("__kept"))
+    acts = materialize(acts.select(F.col("key").alias("__k"), "__gone", "__kept"), "acts")
+    marked = docs.withColumn("__d", F.struct(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host")))
+    out = marked.join(acts, identity("__d.id", "__d.text", "__d.host") == F.col("__k"), "left")
     out = out.where(F.coalesce("__kept", F.lit(True)))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")

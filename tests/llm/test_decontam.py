@@ -62,16 +62,40 @@ def test_both_ways_agree(spark, sf):
     assert exact <= {(i, j) for _, i, j, _, _ in a}
 
 
-def test_edges_of_the_input(spark):
+@pytest.mark.parametrize("size", [decontam.BROADCAST_BYTES, 0])
+def test_edges_of_the_input(spark, size, monkeypatch):
+    monkeypatch.setattr(decontam, "HITS", 7)
     docs = spark.createDataFrame([(1, ITEM, 1), (1, ITEM, 2), (None, ITEM, 3), (4, "w " * 100000, 4)], "doc_id long, text string, `id.x` int")
     tests = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    assert decontam.overlaps(docs, tests).count() == 3
+    both = tests.union(tests).union(spark.createDataFrame([(None, ITEM), (None, ITEM), (7, None)], tests.schema))
+    assert decontam.overlaps(docs, tests, broadcast_bytes=size).count() == 3
+    found = [(r.id, r.item_id) for r in decontam.overlaps(docs, both, broadcast_bytes=size).collect()]
+    assert sorted(found, key=str) == sorted([(i, j) for i in (1, 1, None) for j in (1, 1, None, None)], key=str)
     assert decontam.overlaps(docs, tests.limit(0)).count() == 0
     assert decontam.overlaps(docs.limit(0), tests).count() == 0
     out = decontam.decontaminated(docs, tests)
     assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [4]
 
 
+@pytest.mark.parametrize("size", [decontam.BROADCAST_BYTES, 0])
+def test_random_substitutions_at_every_length(spark, size):
+    """Every passage that the rule admits is found, whatever is replaced in it."""
+    rng = np.random.default_rng(11)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in range(5, 41)}
+    docs, of = [], []
+    for n, words in items.items():
+        for share in (0.1, 0.2, 0.3):
+            for _ in range(12):
+                swap = rng.random(n) < share
+                of.append(n)
+                docs.append((len(docs), " ".join([FILL, *(f"x{k}" if s else w for k, (w, s) in enumerate(zip(words, swap))), FILL])))
+    texts = {n: " ".join(w) for n, w in items.items()}
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    found = {(r.id, r.item_id) for r in decontam.overlaps(frame, tests, broadcast_bytes=size).collect()}
+    want = {(i, of[i]) for i, t in docs if brute(t, texts[of[i]])}  # no token is in two items
+    assert found == want and len(want) > 600
+
+
 def test_masks_ignore_positions():
     a = np.arange(1, 30, dtype=np.uint64)
     b = a.copy()
