@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import identity, materialize, quoted
+from tessera.llm._common import identity, let, materialize, quoted
 
-KEY = "tessera-surrogates-1"
+KEY, GROW = "tessera-surrogates-1", 8
 # Patterns of the detected kinds (Java syntax), most specific first.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -60,10 +60,12 @@ def kind_of(m: Column) -> Column:
 
 
 def canonical(kind: Column, m: Column) -> Column:
-    """What all mentions of one entity share; names keep their gender, numbers with + their prefix."""
+    """What all mentions of one entity share; names have their gender, numbers beyond +1 their prefix."""
     digits = F.regexp_replace(m, r"\D", "")
     name = F.concat(F.when(m.rlike(FEMALE), "f ").otherwise("m "), F.lower(F.regexp_replace(m, TITLE, "")))
-    return F.when(kind == "email", F.lower(m)).when(kind == "ip", m).when(kind == "name", name).when((kind == "phone") & (F.length(digits) > 10), F.right(digits, F.lit(10))).otherwise(digits)
+    # +1 is left out where the rest has its ten digits; other prefixes are part of the number.
+    phone = F.when(m.startswith("+1") & (F.length(digits) == 11) | ~m.startswith("+") & (F.length(digits) > 10), F.right(digits, F.lit(10))).otherwise(digits)
+    return F.when(kind == "email", F.lower(m)).when(kind == "ip", m).when(kind == "name", name).when(kind == "phone", phone).otherwise(digits)
 
 
 def _chars(s: Column) -> Column:
@@ -80,8 +82,10 @@ def _luhn(digits: Column) -> Column:
 def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
     """Canonical surrogate of a canonical value."""
     seed = F.concat_ws("|", F.lit(key), kind, value, attempt.cast("string"))
-    digit = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.when(i == 1, 1 + _draw(seed, i, 9)).otherwise(_draw(seed, i, 10)).cast("string")), "")
-    body = F.concat(F.substring(value, 1, 1), digit.substr(F.lit(2), F.greatest(F.length(value) - 2, F.lit(0))))
+    # Where draws keep failing, a format's numbers are used up: every GROW draws make one digit more.
+    more = F.floor(attempt / GROW).cast("int")
+    digit = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) + more, F.lit(1))), lambda i: F.when(i == 1, 1 + _draw(seed, i, 9)).otherwise(_draw(seed, i, 10)).cast("string")), "")
+    body = F.concat(F.substring(value, 1, 1), digit.substr(F.lit(2), F.greatest(F.length(value) + more - 2, F.lit(0))))
     check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(body, F.when(_luhn(value) == 0, check).otherwise(_draw(seed, 99, 10).cast("string")))
     local = F.regexp_extract(value, "^[^@]*", 0)
@@ -97,7 +101,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
     )
     host = F.array_join(F.transform(F.sequence(F.lit(100), F.lit(107)), lambda i: _pick(list("abcdefghijklmnopqrstuvwxyz"), _draw(seed, i, 26))), "")
     email = F.concat(letters, F.lit("@"), host, F.lit(".example"))
-    ip = F.concat_ws(".", *[(_draw(seed, k, 223) + 1 if k == 0 else _draw(seed, k, 256)).cast("string") for k in range(4)])
+    ip = F.array_join(F.transform(F.sequence(F.lit(0), 3 + more), lambda k: F.when(k == 0, _draw(seed, k, 223) + 1).otherwise(_draw(seed, k, 256)).cast("string")), ".")
 
     def name(script: str) -> Column:
         given = F.when(value.startswith("f "), _pick(GIVEN[script, "f"], _draw(seed, 0, 16))).otherwise(_pick(GIVEN[script, "m"], _draw(seed, 0, 16)))
@@ -115,6 +119,7 @@ def poured(kind: Column, m: Column, canon: Column) -> Column:
     spare = F.greatest(total - F.length(canon), F.lit(0))
     place = lambda i: F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), r"\D", "")) - spare
     numbers = F.array_join(F.transform(_chars(m), lambda c, i: F.when(c.rlike(r"\d") & (place(i) > 0), F.substring(canon, place(i), F.lit(1))).otherwise(c)), "")
+    numbers = F.concat(numbers, F.substring(canon, total + 1, F.length(canon)))
     local = F.regexp_extract(m, "^[^@]*", 0)
     shaped = F.array_join(F.transform(_chars(local), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(canon, i + 1, F.lit(1)))).otherwise(F.substring(canon, i + 1, F.lit(1)))), "")
     email = F.concat(shaped, F.substring(canon, F.length(local) + 1, F.length(canon)))
@@ -128,15 +133,16 @@ def _found(text: Column) -> Column:
     return F.when(text.rlike(HINT), found)
 
 
-def redrawn(entities: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
+def redrawn(entities: DataFrame, key: str = KEY) -> DataFrame:
     """Collision check over all distinct ``entities(kind, value)``: those that must draw again.
 
     Returns (kind, value, attempt), attempt > 0. Among entities with one surrogate the one with
     the lowest attempt, then value, keeps it; a surrogate that is a real value is never kept.
+    Names, numbers and addresses grow as draws fail, so that there always are some left.
     """
     drawn = entities.withColumn("attempt", F.lit(0))
     real = entities.select("kind", F.col("value").alias("s"), F.lit(True).alias("real"))
-    for _ in range(rounds):
+    while True:
         own = drawn.withColumn("s", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
         first = own.groupBy("kind", "s").agg(F.min(F.struct("attempt", "value")).alias("first"), F.count("*").alias("n"))
         judged = own.join(first, ["kind", "s"]).join(real, ["kind", "s"], "left")
@@ -144,11 +150,8 @@ def redrawn(entities: DataFrame, key: str = KEY, rounds: int = 20) -> DataFrame:
         moved = judged.where(lost).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         moved = materialize(moved, "redrawn")
         if moved.isEmpty():
-            break
+            return drawn.where("attempt > 0")
         drawn = materialize(drawn.join(moved.withColumnRenamed("attempt", "next"), ["kind", "value"], "left").select("kind", "value", F.coalesce("next", "attempt").alias("attempt")), "drawn")
-    else:
-        raise RuntimeError(f"surrogates still collide after {rounds} rounds")
-    return drawn.where("attempt > 0")
 
 
 def surrogated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -160,21 +163,22 @@ def surrogated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows are rewritten alike. An empty table stays empty. Other columns pass untouched.
     """
     text = F.col(text_col).cast("string")
-    base = docs.select(identity(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), text.alias("text")).where(F.col("text").rlike(HINT))
-    mentions = base.select("key", "id", F.explode(_found(F.col("text"))).alias("x")).select("key", "id", F.col("x.kind").alias("kind"), F.col("x.value").alias("value"))
+    slim = F.struct(F.col(id_col).cast("long").alias("id"), text.alias("text")).alias("__d")
+    base = docs.select(slim).where(F.col("__d.text").rlike(HINT)).select(identity("__d.id", "__d.text").alias("key"), "__d.text")
+    mentions = base.select("key", F.explode(_found(F.col("text"))).alias("x")).select("key", F.col("x.kind").alias("kind"), F.col("x.value").alias("value"))
     again = materialize(redrawn(materialize(mentions.select("kind", "value").distinct(), "entities"), key), "again")
     out = docs.withColumn("__found", _found(text))
     if again.isEmpty():
         attempt = lambda x: F.lit(0)
     else:
-        held = mentions.join(again, ["kind", "value"]).groupBy("key", "id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__again"))
-        held = materialize(held.select(F.col("key").alias("__k"), F.col("id").alias("__i"), "__again"), "held")
-        out = out.withColumn("__key", identity(id_col, text_col)).withColumn("__id", F.col(id_col).cast("long"))
-        out = out.join(held, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")), "left")
+        held = mentions.join(again, ["kind", "value"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("__again"))
+        held = materialize(held.select(F.col("key").alias("__k"), "__again"), "held")
+        out = out.withColumn("__d", slim)
+        out = out.join(held, identity("__d.id", "__d.text") == F.col("__k"), "left")
         attempt = lambda x: F.coalesce(F.try_element_at(F.col("__again"), F.concat_ws("|", x["kind"], x["value"])), F.lit(0))
     fresh = F.transform("__found", lambda x: F.struct(x["kind"].alias("kind"), poured(x["kind"], x["m"], surrogate(x["kind"], x["value"], attempt(x), key)).alias("surrogate")))
-    pieces = F.split(text, ANY, -1)
-    joined = F.concat(F.element_at(pieces, 1), F.array_join(F.transform("__entities", lambda x, i: F.concat(x["surrogate"], F.get(pieces, i + 1))), ""))
+    # The stretches between entities: found once, and only in texts that have any.
+    joined = let(F.split(text, ANY, -1), lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.zip_with("__entities", F.slice(p, 2, F.size("__entities")), lambda x, after: F.concat(x["surrogate"], after)), "")))
     rewritten = F.when(F.size(F.coalesce("__entities", F.array())) > 0, joined).otherwise(text)
     out = out.withColumn("__entities", F.coalesce(fresh, F.array().cast("array<struct<kind:string,surrogate:string>>")))
     return out.select(*[rewritten.alias(c) if c == text_col else quoted(c) for c in docs.columns], F.col("__entities").alias("entities" if "entities" not in docs.columns else "pii_entities"))

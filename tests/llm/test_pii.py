@@ -1,5 +1,7 @@
+import hashlib
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import pii
@@ -69,21 +71,109 @@ def test_coreference_and_distinctness(spark):
     assert run(spark)[2].text == out[2].text and run(spark, key="other")[2].text != out[2].text
 
 
-def test_collisions_draw_again(spark):
-    # Single letters: 26 canonical surrogates at most, so many of these collide at first.
-    people = spark.range(12).select(F.lit("name").alias("kind"), F.concat(F.lit("m a"), F.col("id")).alias("value"))
-    few = spark.range(8).select(F.lit("ssn").alias("kind"), F.col("id").cast("string").alias("value"))
-    for entities in (people, few):
-        again = pii.redrawn(entities, rounds=200) if entities is people else None
-        if again is not None:
-            both = entities.join(again, ["kind", "value"], "left").na.fill(0, ["attempt"])
-            got = [r.s for r in both.select(pii.surrogate(F.col("kind"), F.col("value"), F.col("attempt")).alias("s")).collect()]
-            assert len(set(got)) == 12
-    pairs = spark.createDataFrame([("phone", f"{n:02d}") for n in range(40)], "kind string, value string")
-    again = pii.redrawn(pairs, rounds=400)
-    both = pairs.join(again, ["kind", "value"], "left").na.fill(0, ["attempt"])
-    got = [r.s for r in both.select(pii.surrogate(F.col("kind"), F.col("value"), F.col("attempt")).alias("s")).collect()]
-    assert again.count() > 0 and len(set(got)) == 40 and not set(got) & {f"{n:02d}" for n in range(40)}
+def test_collisions_draw_again_until_none_is_left(spark):
+    """More entities than their format has numbers: they grow."""
+    pairs = spark.createDataFrame([("phone", f"{n:02d}") for n in range(40)] + [("ssn", str(n)) for n in range(9)] + [("name", f"m a{n}") for n in range(12)], "kind string, value string")
+    both = pairs.join(pii.redrawn(pairs), ["kind", "value"], "left").na.fill(0, ["attempt"])
+    rows = both.select("kind", "value", "attempt", pii.surrogate(F.col("kind"), F.col("value"), F.col("attempt")).alias("s")).collect()
+    assert len({(r.kind, r.s) for r in rows}) == 61 and not {(r.kind, r.s) for r in rows} & {(r.kind, r.value) for r in rows}
+    assert {len(r.s) for r in rows if r.kind == "ssn"} >= {1, 2} or max(r.attempt for r in rows if r.kind == "ssn") < pii.GROW
+    assert {(r.kind, r.value): (r.attempt, r.s) for r in rows} == {k: (n, brute_surrogate(*k, n)) for k, n in brute_attempts({(r.kind, r.value) for r in rows}).items()}
+
+
+def brute_draw(seed, at, of):
+    return int(hashlib.sha256(f"{seed}|{at}".encode()).hexdigest()[:12], 16) % of
+
+
+def brute_surrogate(kind, value, attempt, key=pii.KEY):
+    seed, more = f"{key}|{kind}|{value}|{attempt}", attempt // pii.GROW
+    digit = "".join(str(1 + brute_draw(seed, 1, 9) if i == 1 else brute_draw(seed, i, 10)) for i in range(1, max(1, len(value) + more) + 1))
+    if kind == "card":
+        body = value[0] + digit[1 : len(value) + more - 1]
+        return next(body + c for c in "0123456789" if luhn(body + c)) if luhn(value) else body + str(brute_draw(seed, 99, 10))
+    if kind == "email":
+        out = ""
+        for i, c in enumerate(value.split("@")[0]):
+            if regex.match(r"\p{IsCyrillic}", c):
+                out += "абвгдежиклмнопрст"[brute_draw(seed, i, 17)]
+            elif regex.match(r"\p{L}", c):
+                out += "abcdefghijklmnopqrstuvwxyz"[brute_draw(seed, i, 26)]
+            else:
+                out += str(brute_draw(seed, i, 10)) if regex.match(r"\p{N}", c) else c
+        return out + "@" + "".join("abcdefghijklmnopqrstuvwxyz"[brute_draw(seed, i, 26)] for i in range(100, 108)) + ".example"
+    if kind == "ip":
+        return ".".join(str(brute_draw(seed, k, 256) if k else brute_draw(seed, 0, 223) + 1) for k in range(4 + more))
+    if kind == "name":
+        script = "cyrillic" if regex.search(r"\p{IsCyrillic}", value) else "latin"
+        last = "".join(pii.SYLLABLES[script][brute_draw(seed, i, 16)] for i in range(1, 5 + attempt)).title()
+        return f"{pii.GIVEN[script, value[0]][brute_draw(seed, 0, 16)]} {last}" if " " in value[2:] else last
+    return digit
+
+
+def brute_attempts(entities):
+    """Attempt of each entity once nothing collides, in rounds over all of them."""
+    at = dict.fromkeys(entities, 0)
+    while True:
+        own = {k: brute_surrogate(*k, n) for k, n in at.items()}
+        first = {}
+        for k, n in at.items():
+            first[k[0], own[k]] = min(first.get((k[0], own[k]), (n, k[1])), (n, k[1]))
+        moved = [k for k in at if (k[0], own[k]) in entities or first[k[0], own[k]][1] != k[1]]
+        if not moved:
+            return at
+        for k in moved:
+            at[k] += 1
+
+
+def brute_found(text):
+    out = []
+    for m in regex.finditer(pii.ANY, text or "") if regex.search(pii.HINT, text or "") else ():
+        kind = next(k for k, p in pii.PATTERNS.items() if regex.fullmatch(p, m[0]) or k == "phone" and not any(regex.fullmatch(q, m[0]) for q in pii.PATTERNS.values()))
+        digits = re.sub(r"\D", "", m[0])
+        if kind == "phone" and (m[0].startswith("+1") and len(digits) == 11 or m[0][0] != "+" and len(digits) > 10):
+            digits = digits[-10:]
+        name = ("f " if regex.match(pii.FEMALE, m[0]) else "m ") + regex.sub(pii.TITLE, "", m[0]).lower()
+        out.append((m.start(), m.end(), m[0], kind, {"email": m[0].lower(), "ip": m[0], "name": name}.get(kind, digits)))
+    return out
+
+
+def brute_poured(kind, m, canon):
+    if kind == "ip":
+        return canon
+    if kind == "name":
+        return regex.match(pii.TITLE, m)[0] + canon
+    if kind == "email":
+        n = len(m.split("@")[0])
+        return "".join(c.upper() if regex.match(r"\p{Lu}", x) else c for x, c in zip(m[:n], canon)) + canon[n:]
+    total = len(re.sub(r"\D", "", m))
+    out, at = "", -max(total - len(canon), 0)
+    for c in m:
+        if c.isdigit():
+            c, at = canon[at] if at >= 0 else c, at + 1
+        out += c
+    return out + canon[total:]
+
+
+def test_query_against_brute_force(spark, sf):
+    from tessera.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = {i: brute_found(t) for i, t in texts.items()}
+    at = brute_attempts({(x[3], x[4]) for f in found.values() for x in f})
+    for r in queries.op5_pii(spark, sf).collect():
+        want, end = "", 0
+        for a, b, m, kind, value in found[r.doc_id]:
+            want += texts[r.doc_id][end:a] + brute_poured(kind, m, brute_surrogate(kind, value, at[kind, value]))
+            end = b
+        assert r.text == want + texts[r.doc_id][end:], r.doc_id
+        assert r.kinds == ",".join(x[3] for x in found[r.doc_id]) and r.n_entities == len(found[r.doc_id])
+    assert sum(map(len, found.values())) > 20
+
+
+def test_prefixes_are_part_of_numbers(spark):
+    out = run(spark, {1: "a +44 20 7123 4567 b", 2: "a +49 20 7123 4567 b", 3: "a +1 988 555 2485 b", 4: "a 988-555-2485 b"})
+    digits = {k: re.sub(r"\D", "", r.text) for k, r in out.items()}
+    assert digits[1][-10:] != digits[2][-10:] and digits[3] == "1" + digits[4]
 
 
 def test_more_names_than_short_surnames(spark):
