@@ -1,10 +1,15 @@
 """Lexical retrieval packing.
 
-Documents are tokenized, dealt evenly over tasks and sorted within a task by a lexical signature,
-so that similar texts lie together. Runs of SHARD documents each get a BM25 inverted index; the
-first unused document seeds a window, the index returns its unused neighbours by score, and they
-fill the window greedily. The document that overflows is cut; its rest seeds the next window, and
-the last window of a shard is carried into the next, so that a task pads one window at most.
+Documents are tokenized, and document frequencies of all tokens are counted over the whole table.
+Each document has a lexical signature: SIGNS weighted min-hashes of its tokens (weights are BM25's
+inverse document frequencies), each the token that comes first in a random order. The table is
+range-partitioned and sorted by signature, so that texts with the same telling tokens lie together,
+however many tasks there are; a signature that many documents share is cut by the next min-hash and
+in the end by the row. Runs of SHARD documents (fewer where they have over SHARD_TOKENS tokens) are
+the shards of the BM25 inverted index, with the whole table's statistics; the first unused document
+seeds a window, its shard returns its unused neighbours by score, and they fill the window greedily.
+The document that overflows is cut; its rest seeds the next window, and the last window of a shard
+is carried into the next, so that a task pads one window at most.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import small_batches
+from tessera.llm._common import materialize, small_batches
 
-WINDOW, END, SHARD, K1, B = 2048, 1, 512, 1.2, 0.75
+WINDOW, END, SHARD, SHARD_TOKENS, SIGNS, K1, B = 2048, 1, 512, 1 << 21, 3, 1.2, 0.75
+VOCABULARY = 1 << 16  # a token id has 16 bits
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Words whose ids are kept; beyond, all are forgotten (a matter of speed only).
 _KEPT_WORDS = 1 << 20
@@ -213,6 +219,21 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+class Statistics:
+    """What BM25 knows of all documents: inverse document frequency of each token, mean length."""
+
+    def __init__(self, documents: int, tokens: int, df: np.ndarray):
+        self.idf = np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = max(tokens / max(documents, 1), 1.0)
+
+
+def statistics_of(docs: list[np.ndarray]) -> Statistics:
+    df = np.zeros(VOCABULARY, np.int64)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return Statistics(len(docs), sum(map(len, docs)), df)
+
+
 class Index:
     """BM25 inverted index of one shard; terms are token ids.
 
@@ -222,7 +243,7 @@ class Index:
 
     DENSE = 32
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], known: Statistics):
         n = len(docs)
         sizes = np.array([len(d) for d in docs], np.float32)
         bits = max(1, n - 1).bit_length()
@@ -231,9 +252,8 @@ class Index:
         pair, count = np.unique(np.concatenate(docs).astype(kind) << kind(bits) | owner, return_counts=True)
         term, owner = (pair >> kind(bits)).astype(np.int64), (pair & kind((1 << bits) - 1)).astype(np.int64)
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * sizes / max(float(sizes.mean()), 1.0))
-        weight = np.repeat(idf, df) * (count * (K1 + 1) / (count + norm[owner])).astype(np.float32)
+        norm = K1 * (1 - B + B * sizes / known.mean)
+        weight = np.repeat(known.idf[self.terms], df) * (count * (K1 + 1) / (count + norm[owner])).astype(np.float32)
         self.first, self.df, self.owner, self.weight, self.n = first, df, owner, weight, n
         self.row = np.full(len(self.terms), -1)
         dense = np.flatnonzero(df > self.DENSE)
@@ -272,8 +292,8 @@ class Packer:
         return start + n
 
 
-def pack_shard(docs: list[np.ndarray], packer: Packer) -> list[tuple]:
-    index, n = Index(docs), len(docs)
+def pack_shard(docs: list[np.ndarray], packer: Packer, known: Statistics) -> list[tuple]:
+    index, n = Index(docs, known), len(docs)
     free, pieces, at = np.ones(n, bool), [], 0
     rest: tuple[int, int] | None = None
     while rest or free.any():
@@ -299,11 +319,31 @@ def pack_shard(docs: list[np.ndarray], packer: Packer) -> list[tuple]:
     return pieces
 
 
-def signature(ids: np.ndarray) -> int:
-    """Min-hash of the words' ids: texts that share most of their tokens mostly share it."""
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    return int((mixed * np.uint64(0xBF58476D1CE4E5B9)).min() >> np.uint64(1))
+def orders(known: Statistics) -> np.ndarray:
+    """SIGNS random orders of all tokens (rows), in which telling tokens tend to come first."""
+    u = np.random.default_rng(SHARD).random((SIGNS, VOCABULARY))
+    place = np.argsort(np.argsort(-np.log1p(-u) / np.maximum(known.idf, 1e-6), axis=1, kind="stable"), axis=1, kind="stable")
+    return place.astype(np.int32)
+
+
+def _counted(rows: DataFrame) -> Statistics:
+    """Statistics over all of ``rows(ids)``; what comes to the driver is bounded by the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(VOCABULARY, np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for body in batch.column(0):
+                ids = np.frombuffer(body.as_buffer(), np.uint16)
+                df[np.unique(ids)] += 1
+                n += (1, len(ids))
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-2, -1], at))), pa.array(np.concatenate((n, df[at])))], names=["term", "n"])
+
+    found = rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    df = np.zeros(VOCABULARY, np.int64)
+    df[term[term >= 0]] = n[term >= 0]
+    return Statistics(int(n[term == -2].sum()), int(n[term == -1].sum()), df)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard: int = SHARD, path: str | None = None) -> DataFrame:
@@ -322,33 +362,45 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         for whole, at in ((w, k) for w in batches for k in range(0, w.num_rows, _TOGETHER)):
             batch = whole.slice(at, _TOGETHER)
             ids = encode(batch.column(1).to_pylist())
-            body = [x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([signature(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in body], pa.int64()), pa.array(body, pa.binary())], names=["id", "sign", "deal", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=["id", "ids"])
+
+    tokenized = slim.mapInArrow(tokenize, "id long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    tokenized = materialize(tokenized, "tokens")
+    known = _counted(tokenized)
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = orders(sent.value)
+        for batch in batches:
+            all_ids = [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(1)]
+            first = [pa.array([int(p[x].min()) for x in all_ids], pa.int32()) for p in place]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *first], names=["id", "ids", "row", *signs])
 
-    tokenized = slim.mapInArrow(tokenize, "id long, sign long, deal long, ids binary")
-    dealt = tokenized.repartition(F.xxhash64("id", "deal")).sortWithinPartitions("sign", "id", "deal")
+    signs = [f"s{k}" for k in range(SIGNS)]
+    signed = tokenized.mapInArrow(sign, "id long, ids binary, row long, " + ", ".join(f"{s} int" for s in signs))
+    dealt = signed.repartitionByRange(*signs, "row").sortWithinPartitions(*signs, "row").select("id", "ids")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, packer = TaskContext.get().partitionId() << 40, Packer(window)
-        names, docs = [], []
+        names, docs, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            pieces = pack_shard(docs, packer)
+            pieces = pack_shard(docs, packer, sent.value)
             owner = [p[0] for p in pieces]
             columns = [[names[k] for k in owner], [p[1] for p in pieces], [p[2] for p in pieces], [p[3] for p in pieces], [len(docs[k]) for k in owner], [base + p[4] for p in pieces], [p[5] for p in pieces]]
             ids = pa.array([docs[k][s : s + n].tobytes() for k, s, n, *_ in pieces], pa.binary())
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), ids], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 names.append(name)
                 docs.append(np.frombuffer(body, np.uint16))
-                if len(docs) == shard:
+                held += len(docs[-1])
+                if len(docs) == shard or held >= SHARD_TOKENS:
                     yield flush()
                     names.clear()
                     docs.clear()
+                    held = 0
         if docs:
             yield flush()
 
