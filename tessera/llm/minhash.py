@@ -1,8 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies by exact Jaccard similarity of word shingles: the pipeline's use of the SimHash operator.
 
-Min-hashes of each text's shingle set are cut into bands; texts that share a band meet in one unit
-of work, where those whose min-hashes agree in AGREE places or more are linked. Each component of
-these rough links is then a unit in which the shingle sets themselves are compared, so that
+SimHash fingerprints of the shingle sets are joined by the binary-trie self-join of ``simhash``. Its
+budget of 4 of 64 bits finds copies with few edits, but pairs near the stated similarity differ by
+some 10 bits, where no trie can prune; so candidates come from a second source too: min-hashes of
+each set are cut into bands; texts that share a band meet in one unit of work, where those whose
+min-hashes agree in AGREE places or more are linked. Each component of all these rough links is then a unit in which the shingle sets themselves are compared, so that
 every final link has a Jaccard similarity of SIMILARITY or more. A pair at 0.8 exactly shares no
 band with a chance of 3 in 100,000; more similar pairs are missed less often. Large units are split
 and the pairs of their parts become the units; none is capped.
@@ -18,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import simhash
 from tessera.llm._common import connected_components, materialize, small_batches
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -42,9 +45,9 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts[: len(stops)].tolist(), stops.tolist(), strict=True)), np.uint64, len(stops)))
 
 
-def minhashes(sets: list[np.ndarray]) -> np.ndarray:
-    """Min-hashes of non-empty sets, a row each."""
-    out = np.zeros((len(sets), BANDS * ROWS), np.uint64)
+def minhashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Min-hashes of non-empty sets, a row each, and their SimHash fingerprints."""
+    out, fps = np.zeros((len(sets), BANDS * ROWS), np.uint64), np.zeros(len(sets), np.uint64)
     at = 0
     while at < len(sets):
         to, n = at, 0
@@ -55,8 +58,9 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
         starts = np.concatenate(([0], np.cumsum([len(s) for s in sets[at : to - 1]], dtype=np.int64))).astype(np.int64)
         for k in range(BANDS * ROWS):
             out[at:to, k] = np.minimum.reduceat((flat ^ _XOR[k]) * _TIMES[k], starts)
+        fps[at:to] = simhash.majority(flat, starts)
         at = to
-    return out
+    return out, fps
 
 
 def bands_of(mins: np.ndarray) -> np.ndarray:
@@ -68,22 +72,22 @@ def bands_of(mins: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """(id, key, body, n, bands, sig) for each row of ``docs(id, key, text)``: body names the shingle set, n is its size."""
+    """(id, key, body, n, fp, bands, sig) for each row of ``docs(id, key, text)``: body names the shingle set, n is its size."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
-            mins = minhashes([s for s in sets if len(s)])
+            mins, fps = minhashes([s for s in sets if len(s)])
             full, bands, sig = iter(range(len(mins))), bands_of(mins).view(np.int64), mins.astype(np.uint8)
             rows = [next(full) if len(s) else None for s in sets]
             body = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(body), pa.array([len(s) for s in sets], pa.int64()), pa.array([None if r is None else bands[r] for r in rows], pa.list_(pa.int64())), pa.array([None if r is None else sig[r].tobytes() for r in rows], pa.binary())],
-                names=["id", "key", "body", "n", "bands", "sig"],
+                [*batch.columns[:2], pa.array(body), pa.array([len(s) for s in sets], pa.int64()), pa.array([None if r is None else fps.view(np.int64)[r] for r in rows], pa.int64()), pa.array([None if r is None else bands[r] for r in rows], pa.list_(pa.int64())), pa.array([None if r is None else sig[r].tobytes() for r in rows], pa.binary())],
+                names=["id", "key", "body", "n", "fp", "bands", "sig"],
             )
 
-    return docs.select("id", "key", "text").mapInArrow(run, "id long, key string, body long, n long, bands array<long>, sig binary")
+    return docs.select("id", "key", "text").mapInArrow(run, "id long, key string, body long, n long, fp long, bands array<long>, sig binary")
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
@@ -178,7 +182,12 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = materialize(laid.join(materialize(shared, "bands"), "band").distinct(), "members")
     big = materialize(members.groupBy("band").count().where(F.col("count") > PART).select("band", (F.ceil(F.col("count") / PART) + 1).cast("long").alias("g")), "big")
     sigs = base.where("sig is not null").select("body", "sig").distinct()
-    rough = connected_components(_in_units(members.join(sigs, "body"), big, "band", "sig", alike))
+    # One text stands for each fingerprint; the others of it and the trie's links lead to it.
+    stands = materialize(base.where("fp is not null").groupBy("fp").agg(F.min("body").alias("b")), "fingerprints")
+    close = simhash.near_links(stands.select("fp")).withColumnRenamed("b", "fp")
+    close = close.join(stands, "fp").select(F.col("a").alias("fp"), F.col("b").alias("y")).join(stands, "fp").select(F.col("b").alias("a"), F.col("y").alias("b"))
+    equal = base.select("fp", F.col("body").alias("a")).join(stands, "fp").where("a <> b").select("a", "b").distinct()
+    rough = connected_components(_in_units(members.join(sigs, "body"), big, "band", "sig", alike).union(close).union(equal))
     rough = materialize(rough.select(F.col("node").alias("body"), F.col("root").alias("rough")), "rough")
 
     sizes = base.select("body", "n").distinct().join(rough, "body").groupBy("rough").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))

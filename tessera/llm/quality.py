@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._common import identity, materialize, quoted, small_batches
 
-MIN_WORDS, MAX_REPEATED, MIN_LINE_WORDS, MIN_DOCS, SHARE, DEPLETED = 50, 0.5, 4, 10, 0.001, 0.5
+MIN_WORDS, MAX_REPEATED, MIN_DOCS, SHARE, DEPLETED = 50, 0.5, 10, 0.001, 0.5
 _SPACES, _SYMBOLS, _DIGITS = " \t\n\x0b\x0c\r", "#*$%&|<>", bytes.maketrans(b"0123456789", b"0" * 10)
 _WORDLESS = re.compile(r"[\x20\x09-\x0D]*\Z")
 
@@ -137,7 +137,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return out.select(*[text.alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
-#: ``op10`` in DuckDB's SQL; unlike the operator it leaves lines of fewer than MIN_LINE_WORDS words out.
+#: ``op10`` in DuckDB's SQL.
 SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, text IS NULL AS no_text, coalesce(source, '') AS host FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM d),
@@ -151,7 +151,7 @@ m AS (SELECT doc_id, host, text, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n_dup_lines FROM m WHERE len(lw) > 0 GROUP BY 1),
 n AS (SELECT doc_id, host, text, len(regexp_replace(raw, '[\x20\x09-\x0D]', '', 'g')) AS chars,
   regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS line
-  FROM m WHERE len(lw) >= {MIN_LINE_WORDS}),
+  FROM m WHERE len(lw) > 0),
 hosts AS (SELECT host, count(DISTINCT CASE WHEN no_text THEN 'n' ELSE 't' || text END) AS texts FROM d GROUP BY 1),
 often AS (SELECT host, line, count(DISTINCT text) AS c, min(doc_id) AS keeper FROM n GROUP BY 1, 2),
 cut AS (SELECT n.doc_id, sum(n.chars) AS lost FROM n JOIN often USING (host, line) JOIN hosts USING (host)

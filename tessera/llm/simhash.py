@@ -46,6 +46,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Fingerprints of the runs of ``hashes`` that begin at ``starts``: bits set in over half of a run."""
+    bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64)
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+    size = np.diff(np.append(starts, len(hashes)))
+    return np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
     """(id, fp, and ``carry`` columns of longs): one row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
     carry = carry or []

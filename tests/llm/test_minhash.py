@@ -47,3 +47,10 @@ def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = sorted(docs.collect(), key=lambda r: r.doc_id)
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {rows[k].doc_id for k in kept([r.text for r in rows])}
+
+
+def test_fingerprints_are_the_majority_of_bits():
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 64, n, np.uint64) for n in (1, 2, 7, 50)]
+    want = [sum((sum(int(h) >> b & 1 for h in s) * 2 > len(s)) << b for b in range(64)) for s in sets]
+    assert minhash.minhashes(sets)[1].tolist() == want

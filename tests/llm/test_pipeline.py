@@ -41,10 +41,10 @@ def test_against_a_plain_walk(spark, sf):
     assert not failed & set(one.doc_id) and len(one) >= 0.95 * (docs.count() - len(failed))
     at = spark.createDataFrame(one, docs.schema)
     two = corpus_pipeline.near_duplicates(spark, at, sf)
-    from test_simhash import brute_components, brute_fingerprint
+    from test_minhash import kept
 
-    rows = one.sort_values("doc_id")
-    keep = {c for c in brute_components([brute_fingerprint(t) for t in rows.text], rows.doc_id.tolist())}
+    rows = one.sort_values("doc_id").reset_index(drop=True)
+    keep = {int(rows.doc_id[k]) for k in kept(rows.text.tolist())}
     assert {r.doc_id for r in two.collect()} == keep
     items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     three = {r.doc_id for r in corpus_pipeline.decontaminate(spark, two, sf).collect()}
