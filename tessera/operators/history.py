@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.flags import expired, extends, mask, ttl_minutes
+from tessera.functions.documents import grown, merged
+from tessera.functions.flags import expired, mask, ttl_minutes
 from tessera.operators.collection import Collection
 from tessera.operators.positions import with_position
 from tessera.plans import interpret
@@ -91,8 +92,9 @@ class Store:
     def _append(self, rows: DataFrame) -> int:
         """Number ``rows`` by ``_row`` and append them; returns how many."""
         base = self.version()
-        rows = cut(with_position(rows.drop("_ver"), "_row", "_ver").withColumn("_ver", F.col("_ver") + base).select(*COLUMNS))
+        rows = cut(rows.drop("_ver"))  # computed once: numbering reads it several times
         n = rows.count()
+        rows = cut(with_position(rows, "_row", "_ver", n).withColumn("_ver", F.col("_ver") + base).select(*COLUMNS))
         self.log = self.log.unionByName(rows)
         self._writes += 1
         if self._writes % self._every == 0:
@@ -124,15 +126,17 @@ class Store:
         """
         day = F.lit(self.today)
         fresh = self.frame(data).alias("n")
-        now = self.records().select("_id", F.col("_json").alias("o_json"), F.col("_row").alias("o_row"), F.col("_cdate").alias("o_cdate"), F.col("_ttl").alias("o_ttl"), F.col("_flags").alias("o_flags"))
+        now = self.records()
+        if isinstance(data, dict | list):  # a few keys: only their versions are aggregated
+            now = now.join(F.broadcast(fresh.select("_id")), "_id", "left_semi")
+        now = now.select("_id", F.col("_json").alias("o_json"), F.col("_row").alias("o_row"), F.col("_cdate").alias("o_cdate"), F.col("_ttl").alias("o_ttl"), F.col("_flags").alias("o_flags"))
         both = fresh.join(now, "_id", "left")
         there = F.col("o_row").isNotNull()
         allowed = F.when(there, F.lit(old)).otherwise(F.lit(new))
         locked = F.coalesce(F.col("o_flags").bitwiseAND(mask("r")) != 0, F.lit(False))
-        grows = F.udf(lambda a, b: a is None or extends(json.loads(a), json.loads(b)), T.BooleanType(), useArrow=True)
         tail = F.coalesce(F.col("o_flags").bitwiseAND(mask("a")) != 0, F.lit(False))
         both = both.where(allowed & ~locked & ~F.col("o_json").eqNullSafe(F.col("_json")))
-        both = both.where(~tail | grows("o_json", "_json"))
+        both = both.where(F.when(tail, grown(F.col("o_json"), F.col("_json"))).otherwise(True))
         if self.check is not None:
             test = self.check
             both = both.where(F.udf(lambda k, t: bool(test(k, json.loads(t))), T.BooleanType(), useArrow=True)("_id", "_json"))
@@ -190,18 +194,20 @@ class Store:
         """Merge a patch into matching mappings. A None in the patch removes that field; a patch
         function that returns None deletes the record."""
         rows = self.view().find(vals=condition, with_hidden=True).df
+        if not callable(patch):
+            return self._write(rows.select("_id", merged(F.col("_json"), patch).alias("_json")), new=False, old=True)
 
-        def merged(key: str, text: str) -> str | None:
+        def changed(key: str, text: str) -> str | None:
             value = json.loads(text)
             if not isinstance(value, dict):
                 return text
-            change = patch(key, value) if callable(patch) else patch
+            change = patch(key, value)
             if change is None:
                 return None
             return interpret.json_text({k: v for k, v in {**value, **change}.items() if v is not None or k not in change})
 
-        rows = cut(rows.select("_id", F.udf(merged, "string", useArrow=True)("_id", "_json").alias("_json")))
-        gone = self._remove(rows.where("_json is null").select("_id")) if callable(patch) else 0
+        rows = cut(rows.select("_id", F.udf(changed, "string", useArrow=True)("_id", "_json").alias("_json")))
+        gone = self._remove(rows.where("_json is null").select("_id"))
         return gone + self._write(rows.where("_json is not null"), new=False, old=True)
 
     def _remove(self, keys: DataFrame) -> int:

@@ -1,10 +1,13 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.flags import expired, extends, mask, parse_flags, ttl_minutes
+from tessera.functions.documents import grown, merged
+from tessera.functions.flags import expired, mask, parse_flags, ttl_minutes
 from tessera.operators.history import Store, follow_links, latest
+from tessera.plans import interpret
 
 DAY = dt.date(2024, 5, 1)
 
@@ -122,7 +125,24 @@ def test_flag_masks_and_extension():
     assert parse_flags("+r-0") == (mask("r"), mask("0")) and parse_flags("rh") == (mask("rh"), 0)
     with pytest.raises(ValueError):
         parse_flags("u")
-    assert extends("ab", "abc") and not extends("ab", "ab") and not extends("ab", "xab") and extends([1], [1, 2]) and extends({"a": 1}, {"a": 1, "b": 2}) and not extends({"a": 1}, {"a": 2, "b": 2}) and extends({1}, {1, 2})
+
+
+def test_growth_of_append_only_records(spark):
+    pairs = [("ab", "abc", True), ("ab", "ab", False), ("ab", "xab", False), ("", "a", True), ('q"', 'q"\n', True), ([1], [1, 2], True), ([], [0], True), ([], [], False), ([1], [12], False), ([1, 2], [1], False)]
+    pairs += [({"a": 1}, {"a": 1, "b": 2}, True), ({"a": 1}, {"b": 2, "a": 1}, True), ({"a": 1}, {"a": 2, "b": 2}, False), ({}, {"a": 1}, True), ({"a": 1}, {"a": 1}, False), (1, 12, False), ("a", ["a", "b"], False), ({"a": {"x": [1]}}, {"a": {"x": [1]}, "c": None}, True)]
+    df = spark.createDataFrame([(json.dumps(a), json.dumps(b), w) for a, b, w in pairs], "a string, b string, want boolean")
+    assert [r for r in df.select("*", grown(F.col("a"), F.col("b")).alias("got")).collect() if r.got != r.want] == []
+
+
+def test_merging_keeps_the_rest_as_it_is(spark):
+    values = [{"x": 1, "y": "1", "z": 1.0, "q": 'say "hé"\n'}, {"y": None, "t": [1.50, "a", {"u": "v"}], "b": True}, {}, [1], "text", 5, None, {"new": {"deep": 1}, "x": 0}]
+    patch = {"x": None, "new": {"k": [1, "é"]}, "y": "2"}
+    df = spark.createDataFrame([(k, interpret.json_text(v)) for k, v in enumerate(values)], "k int, t string")
+    for r in df.select("k", merged(F.col("t"), patch).alias("m")).collect():
+        v = values[r.k]
+        want = {k: x for k, x in {**v, **patch}.items() if x is not None or k not in patch} if isinstance(v, dict) else v
+        got = json.loads(r.m)
+        assert got == want and str(got) == str(want), r
 
 
 def test_follow_links_is_one_level(spark):
