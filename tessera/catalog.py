@@ -796,3 +796,6 @@ def g_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("g_cyclic", "SELECT true AS users, false AS tree")
 def g_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one(spark, users=user_graph(spark, sf_dir).is_cyclic(), tree=tree_graph(spark, sf_dir).is_cyclic())
+
+
+from tessera import catalog_more  # noqa: E402, F401 - registers the rest

@@ -14,7 +14,7 @@ import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,11 +124,13 @@ class Collection:
 
     # ---- find -----------------------------------------------------------------------------
 
-    def find(self, keys: Any = None, vals: Any = None, date: Any = None, limit: int = 0, skip: int = 0, sort: Any = None, reverse: bool = False, group_by: Any = None, key_flags: str | None = None, with_hidden: bool = False, **ops: Any) -> Collection:
+    def find(self, keys: Any = None, vals: Any = None, date: Any = None, limit: int = 0, skip: int = 0, sort: Any = None, reverse: bool = False, group_by: Any = None, key_flags: str | None = None, with_hidden: bool = False, stats: Observation | None = None, **ops: Any) -> Collection:
         """Records that fit rules on key, value and date.
 
         ``limit`` and ``skip`` cut the matches in row order, before grouping and sorting (see
-        :meth:`top_k` for the other order). Keyword arguments are operators (``GT=12``).
+        :meth:`top_k` for the other order); of ``group:::key`` each group is cut by itself. Keyword
+        arguments are operators (``GT=12``). ``stats`` observes, in the same pass, how many records
+        there were, what each filter took and how many matched.
         """
         if isinstance(keys, Condition):
             keys, vals = None, keys
@@ -147,24 +149,32 @@ class Collection:
         if isinstance(keys, str) and SEPARATOR in keys:
             group, _, keys = keys.rpartition(SEPARATOR)
             df = df.where(self.meta("_group").rlike(group) if group else self.meta("_group") != "")
-            return self._with(df).find(keys or None, rule, date, limit, skip, sort, reverse, group_by, key_flags, with_hidden)
+            found = self._with(df).find(keys or None, rule, date, key_flags=key_flags, with_hidden=with_hidden, stats=stats)
+            if limit or skip:
+                found = found._with(_cut_groups(found.df, found.meta("_group"), found.meta("_row"), limit, skip))
+            return found._arranged(group_by, sort, reverse)
         key_rule = _key_rule(keys)
-        if key_rule is not None:
-            df = df.where(self.key_condition(key_rule))
         alive = self.alive(key_flags, with_hidden)
-        if alive is not None:
-            df = df.where(alive)
-        if date is not None:
-            df = df.where(native.dated(_date_rule(date, self.as_of), self._scope()))
-        if rule is not None:
-            df = df.where(self.condition(rule, loose=True))
-        if limit or skip:
+        tests = {
+            "key_filter": None if key_rule is None else self.key_condition(key_rule),
+            "flag_filter": alive,
+            "date_filter": None if date is None else native.dated(_date_rule(date, self.as_of), self._scope()),
+            "value_filter": None if rule is None else self.condition(rule, loose=True),
+        }
+        if stats is not None:
+            df = df.observe(stats, *_counts(tests))
+        for test in tests.values():
+            df = df if test is None else df.where(test)
+        if limit:
             df = df.orderBy(self.meta("_row"))
-            df = df.offset(skip) if skip else df
-            df = df.limit(limit) if limit else df
-        found = self._with(df)
-        if group_by is not None:
-            found = found.group_by(group_by)
+            df = (df.offset(skip) if skip else df).limit(limit)
+        elif skip:  # what follows can be everything: numbered in ranges, not in one task
+            order = df.withColumn("__order", self.meta("_row"))
+            df = with_position(order, "__order", "__at").where(F.col("__at") >= skip).drop("__order", "__at")
+        return self._with(df)._arranged(group_by, sort, reverse)
+
+    def _arranged(self, group_by: Any, sort: Any, reverse: bool) -> Collection:
+        found = self if group_by is None else self.group_by(group_by)
         return found.sort(sort, reverse) if sort is not None else found
 
     def group_by(self, spec: Any) -> Collection:
@@ -397,6 +407,24 @@ class Collection:
         return joined.where("l is null or r is null or not (v <=> w)").isEmpty()
 
 
+def _cut_groups(df: DataFrame, group: Column, row: Column, limit: int, skip: int) -> DataFrame:
+    """Each group's matches from ``skip`` on, ``limit`` of them; a limit is pushed below the shuffle."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(row))
+    numbered = df.withColumn("__n", place)
+    numbered = numbered.where(F.col("__n") <= skip + limit) if limit else numbered
+    return numbered.where(F.col("__n") > skip).drop("__n")
+
+
+def _counts(tests: dict[str, Column | None]) -> list[Column]:
+    """Counts of all records, of those that each filter takes from what the ones before left, and of matches."""
+    left, out = F.lit(True), [F.count("*").alias("records")]
+    for name, test in tests.items():
+        passed = left if test is None else left & F.coalesce(test, F.lit(False))
+        out.append((F.count_if(left) - F.count_if(passed)).alias(name))
+        left = passed
+    return [*out, F.count_if(left).alias("matched")]
+
+
 def _canonical(c: Collection) -> Column:
     text = F.col("_json") if c.schemaless else F.to_json(RowColumns(c.schema).whole())
     return F.to_json(F.parse_json(text))

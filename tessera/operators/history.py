@@ -163,8 +163,30 @@ class Store:
         return self._write(list(values), new=True, old=False, **kw)
 
     def set(self, key: str, value: Any, **kw: Any) -> bool:
+        if callable(value):
+            return self.add({key: value}, **kw).count() > 0
         return self._write({key: value}, new=True, old=True, **kw) > 0
 
+    def add(self, records: Any, default: Any = None, replace: bool = True, insert: bool = True, flags: str = "") -> Collection:
+        """Write and return the records that changed.
+
+        A value of None stands for ``default``; a callable is called with the key and the old value
+        (None for a new key). A list is written under keys from the write counter.
+        """
+        if isinstance(records, dict):
+            calls = {str(k): v for k, v in records.items() if callable(v)}
+            if any(f.__code__.co_argcount != 2 for f in calls.values()):
+                raise TypeError("a callable value takes the key and the old value")
+            old = self.view().get_n(calls).to_dict() if calls else {}
+            records = {str(k): calls[str(k)](str(k), old.get(str(k))) if str(k) in calls else default if v is None else v for k, v in records.items()}
+        base = self.version()
+        self._write(records, new=insert, old=replace, flags=flags)
+        return Collection(self.records().where(F.col("_ver") >= base).drop("_op"), self.as_of)
+
+    def set_n(self, records: dict[str, Any], **kw: Any) -> bool:
+        """Set several keys; whether any changed."""
+        return self._write(records, new=True, old=True, **kw) > 0
+
     def setdefault(self, key: str, value: Any) -> bool:
         return self._write({key: value}, new=True, old=False) > 0
 
@@ -175,7 +197,8 @@ class Store:
         if isinstance(sel, slice) and sel == slice(None):
             return self.records()
         found = sel if isinstance(sel, Collection) else self.view().select(sel)
-        return self.records().join(found.df.select("_id").distinct(), "_id", "left_semi").select(*COLUMNS)
+        # The keys are written first: a join of the log's union with itself trips the optimizer.
+        return self.records().join(cut(found.df.select("_id").distinct()), "_id", "left_semi").select(*COLUMNS)
 
     def assign(self, sel: Any, value: Any) -> int:
         """Set every selected record to a value, or to ``value(key, old)``."""
@@ -186,7 +209,7 @@ class Store:
             text = F.lit(interpret.json_text(value))
         if isinstance(sel, str) and not callable(value):
             return self.update({sel: value})
-        return self._write(rows.select("_id", text.alias("_json")), new=False, old=True)
+        return self._write(cut(rows.select("_id", text.alias("_json"))), new=False, old=True)
 
     __setitem__ = assign
 
@@ -337,6 +360,25 @@ class Store:
         """Snapshot of the whole log."""
         self.log.write.mode("overwrite").option("compression", compression).parquet(path)
 
+    def restore(self, path: str) -> Store:
+        """Put a snapshot's log in the place of this one."""
+        self.log = cut(self.spark.read.schema(LOG).parquet(path))
+        return self
+
+    def clone_to(self, path: str, history: bool = False, with_hidden: bool = True, compression: str = "zstd") -> Store:
+        """An independent copy at ``path``: the live records of all groups, or the whole log."""
+        log = self.log if history else live(self.log)
+        if not with_hidden:
+            log = log.where(F.col("_flags").bitwiseAND(mask("h")) == 0)
+        log.write.mode("overwrite").option("compression", compression).parquet(path)
+        return Store.load(self.spark, path, group=self.group, as_of=self.as_of, check=self.check)
+
+    def upgrade(self, backup: str) -> Store:
+        """Compact the log to its live versions, after a snapshot to ``backup``."""
+        self.save(backup)
+        self.recycle()
+        return self
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, **kw: Any) -> Store:
         return cls(spark, spark.read.schema(LOG).parquet(path), **kw)

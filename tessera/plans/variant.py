@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.rules import Complement, Constant, Junction, Leaf, Node, Path, false_on_null
 
+_NAME = re.compile(r"^[A-Za-z0-9_.$/|]+$")
 _PLAIN = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -77,9 +78,18 @@ def compiled(node: Node, doc: Column, path: str = "$") -> Column | None:
             return None
         at = path + "".join(f".{n}" for n in names)
         inner = compiled(rule, doc, at)
-        if inner is None or false_on_null(rule):
+        if inner is None:
+            return None
+        if not false_on_null(rule):
+            inner = _pick(doc, at, "variant").isNotNull() & inner
+        if len(names) == 1:
             return inner
-        return _pick(doc, at, "variant").isNotNull() & inner
+        # A field of the whole name comes before the path.
+        if not _NAME.match(node.text):
+            return None
+        own = f"{path}['{node.text}']"
+        exact = compiled(node.exact, doc, own)
+        return None if exact is None else F.when(_pick(doc, own, "variant").isNotNull(), exact).otherwise(inner)
     if isinstance(node, Leaf):
         return _leaf(doc, path, node)
     return None

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from tessera.operators.collection import Collection
 
-#: Parquet codec of each named compression.
-COMPRESSION = {"no": "uncompressed", "gz": "gzip", "bz": "zstd", "xz": "zstd", "zs": "zstd", "br": "brotli", "z1": "lz4_raw", "z2": "zstd", "lz": "lz4_raw"}
+#: Parquet codec of each named compression that Parquet has.
+COMPRESSION = {"no": "uncompressed", "gz": "gzip", "zs": "zstd", "br": "brotli", "lz": "lz4_raw"}
 _PACK: dict[str, tuple[Callable, Callable]] = {"no": (bytes, bytes), "gz": (gzip.compress, gzip.decompress), "bz": (bz2.compress, bz2.decompress), "xz": (lzma.compress, lzma.decompress), "z1": (zlib.compress, zlib.decompress)}
 
 
@@ -60,7 +60,9 @@ def to_csv(found: Collection, path: str, key: str = "_id", with_hidden: bool = F
 
 
 def backup(df: DataFrame, path: str, compression: str = "zs", partition_by: list[str] | None = None) -> None:
-    """Snapshot as Parquet."""
+    """Snapshot as Parquet; a compression that Parquet has not is refused, never replaced by another."""
+    if compression not in COMPRESSION:
+        raise ValueError(f"Parquet has no compression {compression!r}: {', '.join(COMPRESSION)}")
     writer = df.write.mode("overwrite").option("compression", COMPRESSION[compression])
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
