@@ -16,11 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Only on one machine (tests) a temporary folder
+    takes its place; a cluster that names none is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -47,7 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     so that joins are broadcast only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
