@@ -40,7 +40,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
     """(id, size, text_crc32, shard, slot): every row of ``docs`` in a shard, counts at most one apart.
 
     size: UTF-8 bytes of the text (null: none) plus 8; text_crc32 of a null text is that of no
-    bytes. Nulls: a null source is a source of its own; null ids are shuffled by their text.
+    bytes. Nulls: a null source is a source of its own; null ids are shuffled by their place.
     Repeated rows are dealt each; among equal rows it does not matter which is which. An empty
     table gives no rows. Other columns are not read.
     """
@@ -51,7 +51,8 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")).alias("source"),
     )
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", F.when(F.col("id").isNull(), F.col("text_crc32"))), 1))
+    # Rows without an id have their place in the table instead, so that they never share a bucket.
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), 1))
     rows = materialize(rows, "rows")
     sources = rows.groupBy("source").agg(F.count("*").alias("n"))
     total = sources.agg(F.sum("n")).first()[0] or 0

@@ -2,9 +2,12 @@
 
 URLs become sets of tokens (host labels, path words, query keys; tokens of digits alone are left out). FP-growth
 over the labelled pages mines token combinations together with the item BAD; rules "tokens imply
-BAD" are pruned by support, confidence and lift. Matching uses an inverted index: each rule is
-filed under its rarest token, so a URL meets only the rules filed under one of its tokens, and
-those whose other tokens it holds too apply. Rules given by hand come first.
+BAD" are pruned by support, confidence and lift. Tokens that occur in the very same labelled pages
+are one class and are mined as one item, as any choice among them has the same figures: so a run of
+tokens that always come together gives one item, not a power set, and no rule is lost, since any
+member may stand for its class when rules are matched. Matching uses an inverted index: each rule is
+filed under its rarest class, so a URL meets only the rules filed under one of its tokens, and
+those of whose other classes it holds a member too apply. Rules given by hand come first.
 """
 
 from __future__ import annotations
@@ -56,37 +59,45 @@ def tokens(url: Column) -> Column:
 
 
 def mine(labelled: DataFrame, min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Rules (antecedent, key, confidence, support, lift) from ``labelled(url, bad)``.
+    """Rules (antecedent, members, keys, confidence, support, lift) from ``labelled(url, bad)``.
 
-    key is the antecedent's rarest token. A null url or label is left out. Without rows, or
-    without bad ones, there are no rules.
+    antecedent names each class of tokens by its first; members are all of each class, keys those
+    of the rarest. A null url or label is left out. Without rows, or without bad ones, there are no rules.
     """
     spark = labelled.sparkSession
     rows = labelled.where("url is not null and bad is not null")
     n = rows.count()
     if n > MAX_LABELLED:
         rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
-        n = MAX_LABELLED
-    items = rows.select(F.concat(tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    none = spark.createDataFrame([], "antecedent array<string>, key string, confidence double, support double, lift double")
+    none = spark.createDataFrame([], "antecedent array<string>, members array<array<string>>, keys array<string>, confidence double, support double, lift double")
+    rows = materialize(rows.select(tokens(F.col("url")).alias("tokens"), "bad").withColumn("row", F.monotonically_increasing_id()), "items")
+    n = rows.count()
     if not n:
         return none
-    items = materialize(items, "items")
     support = min(1.0, max(min_support, min_count / n))
+    each = rows.select("row", F.explode("tokens").alias("token"))
+    marks = each.groupBy("token").agg(F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.xxhash64(F.lit(1), "row").cast("decimal(38,0)")).alias("y"))
+    marks = marks.where(F.col("freq") >= support * n * (1 - 1e-9))
+    classes = marks.groupBy("freq", "x", "y").agg(F.sort_array(F.collect_list("token")).alias("members"))
+    classes = materialize(classes.select(F.element_at("members", 1).alias("item"), "members", "freq"), "classes")
+    baskets = each.join(classes.select("item", F.explode("members").alias("token")), "token").groupBy("row").agg(F.collect_set("item").alias("held"))
+    none_held = F.array().cast("array<string>")
+    items = rows.select("row", "bad").join(baskets, "row", "left")
+    items = materialize(items.select(F.concat(F.coalesce("held", none_held), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(none_held)).alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.col("lift") >= min_lift)).select("antecedent", "confidence", "support", "lift")
     found = materialize(found.withColumn("rule", F.concat_ws(" ", F.array_sort("antecedent"))), "rules")
     if found.isEmpty():
         return none
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
-    filed = found.select("rule", F.explode("antecedent").alias("token")).join(single, "token").groupBy("rule").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    return found.join(filed, "rule").select("antecedent", "key", "confidence", "support", "lift")
+    filed = found.select("rule", F.explode("antecedent").alias("item")).join(classes, "item").groupBy("rule")
+    filed = filed.agg(F.collect_list("members").alias("members"), F.min_by("members", F.struct("freq", "item")).alias("keys"))
+    return found.join(filed, "rule").select("antecedent", "members", "keys", "confidence", "support", "lift")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct ``urls(url)`` to which a rule applies, with the best confidence."""
     held = urls.select("url").distinct().withColumn("tokens", tokens(F.col("url"))).withColumn("key", F.explode("tokens"))
-    hits = held.join(rules, "key").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+    hits = held.join(rules.withColumn("key", F.explode("keys")), "key").where(F.forall("members", lambda m: F.arrays_overlap(m, "tokens")))
     return hits.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 

@@ -59,21 +59,26 @@ def labelled():
 @pytest.fixture(scope="module")
 def mined(spark):
     df = spark.createDataFrame([(u, not g) for _, u, g in labelled()], "url string, bad boolean")
-    return df, {(tuple(sorted(r.antecedent)), r.key, round(r.confidence, 9), round(r.support, 9)) for r in urlrules.mine(df, min_count=10, min_support=0.0).collect()}
+    return df, {(tuple(sorted(r.antecedent)), tuple(r["keys"]), round(r.confidence, 9), round(r.support, 9)) for r in urlrules.mine(df, min_count=10, min_support=0.0).collect()}
 
 
 def test_mined_rules_against_counting(spark, mined):
     df, found = mined
     rows = [(frozenset(r.t), r.bad) for r in df.select(urlrules.tokens(df.url).alias("t"), "bad").collect()]
     share = sum(b for _, b in rows) / len(rows)
-    freq = {t: sum(t in s for s, _ in rows) for s, _ in rows for t in s}
+    where = {t: frozenset(k for k, (s, _) in enumerate(rows) if t in s) for s, _ in rows for t in s}
+    classes = {}
+    for t in sorted(where):
+        classes.setdefault(where[t], []).append(t)
+    freq = {c[0]: len(at) for at, c in classes.items()}
+    whole = {c[0]: tuple(c) for c in classes.values()}
     want = set()
     for size in (1, 2, 3):
         for combo in itertools.combinations(sorted(freq), size):
             n = sum(set(combo) <= s for s, _ in rows)
             hit = sum(set(combo) <= s and b for s, b in rows)
             if n >= 10 and hit >= 10 and hit / n >= 0.8 and hit / n / share >= 1.5:
-                want.add((combo, min(combo, key=lambda t: (freq[t], t)), round(hit / n, 9), round(hit / len(rows), 9)))
+                want.add((combo, whole[min(combo, key=lambda t: (freq[t], t))], round(hit / n, 9), round(hit / len(rows), 9)))
     assert {f for f in found if len(f[0]) <= 3} == want and want
 
 
@@ -85,6 +90,35 @@ def test_rules_decide(spark):
     assert all(out[i] == ("allow" if g else "block") for i, _, g in labelled())
 
 
+def test_tokens_that_always_come_together(spark):
+    """Thirty query keys in every bad URL make one item; each of them alone still decides."""
+    keys = "&".join(f"k{chr(97 + k % 26)}{k // 26}=1" for k in range(30))
+    rows = [(k, f"http://a{k}.net/x?{keys}" if k % 4 == 0 else f"http://b{k}.net/x?z=1", int(k % 4 > 0)) for k in range(200)]
+    pages = spark.createDataFrame([r[:2] for r in rows] + [(900, "http://new.net/?kd1=5"), (901, "http://new.net/?z=5")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, g, 0) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    out = {r.id: r.verdict for r in urlrules.judged(pages, labels).collect()}
+    assert out[900] == "block" and out[901] == "allow" and all(out[i] == ("allow" if g else "block") for i, _, g in rows)
+
+
+def test_verdicts_against_brute_force(spark, mined):
+    """Every verdict of the whole operator, by counting all combinations of up to three tokens."""
+    rows = labelled()
+    toks = {r.url: frozenset(r.t) for r in mined[0].select("url", urlrules.tokens(F.col("url")).alias("t")).collect()}
+    share = sum(not g for _, _, g in rows) / len(rows)
+    bad = set()
+    for size in (1, 2, 3):
+        for combo in {c for u in toks.values() for c in itertools.combinations(sorted(u), size)}:
+            n = sum(set(combo) <= toks[u] for _, u, _ in rows)
+            hit = sum(set(combo) <= toks[u] and not g for _, u, g in rows)
+            if hit >= urlrules.MIN_COUNT and hit / n >= urlrules.MIN_CONFIDENCE and hit / n / share >= urlrules.MIN_LIFT:
+                bad.add(combo)
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(g), 0) for i, _, g in rows], "doc_id long, quality int, toxic int")
+    for r in urlrules.judged(pages, labels).collect():
+        want = "block" if any(set(c) <= toks[r.url] for c in bad) else "allow"
+        assert r.rule is not None or r.verdict == want
+
+
 def test_tokens_with_digits_and_long_ones(spark):
     long = "a" * 80
     bad = ["1xbet", "888casino", "123movies", "4chan", long]
