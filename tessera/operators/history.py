@@ -60,7 +60,7 @@ class Store:
     def __init__(self, spark: SparkSession, log: DataFrame | None = None, group: str = "", as_of: dt.date | dt.datetime | None = None, check: Callable[[str, Any], bool] | None = None, every: int = 20):
         self.spark, self.group, self.as_of, self.check = spark, group, as_of, check
         self.log = empty_log(spark) if log is None else log
-        self._writes, self._every = 0, every
+        self._writes, self._every, self._next = 0, every, None
 
     # ---- views ----------------------------------------------------------------------------
 
@@ -70,8 +70,10 @@ class Store:
         return now.date() if isinstance(now, dt.datetime) else now or dt.date.today()
 
     def version(self) -> int:
-        """The next value of the write counter."""
-        return (self.log.agg(F.max("_ver")).first()[0] or 0) + 1
+        """The next value of the write counter; read from the log once, then kept."""
+        if self._next is None:
+            self._next = (self.log.agg(F.max("_ver")).first()[0] or 0) + 1
+        return self._next
 
     def records(self, version: int | None = None) -> DataFrame:
         return live(self.log, version).where(F.col("_group") == self.group)
@@ -95,7 +97,7 @@ class Store:
         rows = cut(rows.drop("_ver"))  # computed once: numbering reads it several times
         n = rows.count()
         rows = cut(with_position(rows, "_row", "_ver", n).withColumn("_ver", F.col("_ver") + base).select(*COLUMNS))
-        self.log = self.log.unionByName(rows)
+        self.log, self._next = self.log.unionByName(rows), base + n
         self._writes += 1
         if self._writes % self._every == 0:
             self.log = cut(self.log)
@@ -124,18 +126,26 @@ class Store:
         Equal values are no change. Read-only records stay; append-only ones accept only longer
         values that keep what is there.
         """
-        day = F.lit(self.today)
         fresh = self.frame(data).alias("n")
         now = self.records()
         if isinstance(data, dict | list):  # a few keys: only their versions are aggregated
             now = now.join(F.broadcast(fresh.select("_id")), "_id", "left_semi")
-        now = now.select("_id", F.col("_json").alias("o_json"), F.col("_row").alias("o_row"), F.col("_cdate").alias("o_cdate"), F.col("_ttl").alias("o_ttl"), F.col("_flags").alias("o_flags"))
+        now = now.select("_id", *[F.col(f"_{c}").alias(f"o_{c}") for c in self._OLD])
         both = fresh.join(now, "_id", "left")
-        there = F.col("o_row").isNotNull()
-        allowed = F.when(there, F.lit(old)).otherwise(F.lit(new))
+        return self._put(both.where(F.when(F.col("o_row").isNotNull(), F.lit(old)).otherwise(F.lit(new))), ttl, flags)
+
+    _OLD = ("json", "row", "cdate", "ttl", "flags")
+
+    def _change(self, rows: DataFrame, text: Column) -> int:
+        """Write new values of live rows; what they were is at hand, so nothing is looked up."""
+        return self._put(rows.select("_id", text.alias("_json"), "_row", *[F.col(f"_{c}").alias(f"o_{c}") for c in self._OLD]))
+
+    def _put(self, both: DataFrame, ttl: Any = None, flags: str = "") -> int:
+        """Append the values of ``both(_id, _json, _row, o_*)`` that differ and may be written; ``o_*`` is the live record."""
+        day = F.lit(self.today)
         locked = F.coalesce(F.col("o_flags").bitwiseAND(mask("r")) != 0, F.lit(False))
         tail = F.coalesce(F.col("o_flags").bitwiseAND(mask("a")) != 0, F.lit(False))
-        both = both.where(allowed & ~locked & ~F.col("o_json").eqNullSafe(F.col("_json")))
+        both = both.where(~locked & ~F.col("o_json").eqNullSafe(F.col("_json")))
         both = both.where(F.when(tail, grown(F.col("o_json"), F.col("_json"))).otherwise(True))
         if self.check is not None:
             test = self.check
@@ -209,7 +219,7 @@ class Store:
             text = F.lit(interpret.json_text(value))
         if isinstance(sel, str) and not callable(value):
             return self.update({sel: value})
-        return self._write(cut(rows.select("_id", text.alias("_json"))), new=False, old=True)
+        return self._change(rows, text)
 
     __setitem__ = assign
 
@@ -218,7 +228,7 @@ class Store:
         function that returns None deletes the record."""
         rows = self.view().find(vals=condition, with_hidden=True).df
         if not callable(patch):
-            return self._write(rows.select("_id", merged(F.col("_json"), patch).alias("_json")), new=False, old=True)
+            return self._change(rows, merged(F.col("_json"), patch))
 
         def changed(key: str, text: str) -> str | None:
             value = json.loads(text)
@@ -229,9 +239,9 @@ class Store:
                 return None
             return interpret.json_text({k: v for k, v in {**value, **change}.items() if v is not None or k not in change})
 
-        rows = cut(rows.select("_id", F.udf(changed, "string", useArrow=True)("_id", "_json").alias("_json")))
-        gone = self._remove(rows.where("_json is null").select("_id"))
-        return gone + self._write(rows.where("_json is not null"), new=False, old=True)
+        rows = cut(rows.withColumn("__new", F.udf(changed, "string", useArrow=True)("_id", "_json")))
+        gone = self._remove(rows.where("__new is null").select("_id"))
+        return gone + self._change(rows.where("__new is not null"), F.col("__new"))
 
     def _remove(self, keys: DataFrame) -> int:
         rows = self.records().join(keys.distinct(), "_id", "left_semi")
@@ -304,7 +314,7 @@ class Store:
         return Store(self.spark, self.log, path, self.as_of, self.check, self._every)
 
     def absorb(self, group: Store) -> None:
-        self.log = group.log
+        self.log, self._next = group.log, group._next
 
     def del_group(self, name: str) -> int:
         inner = self.in_group(name)
@@ -362,7 +372,7 @@ class Store:
 
     def restore(self, path: str) -> Store:
         """Put a snapshot's log in the place of this one."""
-        self.log = cut(self.spark.read.schema(LOG).parquet(path))
+        self.log, self._next = cut(self.spark.read.schema(LOG).parquet(path)), None
         return self
 
     def clone_to(self, path: str, history: bool = False, with_hidden: bool = True, compression: str = "zstd") -> Store:

@@ -32,7 +32,9 @@ def with_position(df: DataFrame, order: str, out: str, total: int | None = None)
     """
     n = df.count() if total is None else total
     parts = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
-    edges = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    if parts == 1:  # few enough for one task
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    edges = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.2 / parts)))
     df = df.withColumn("__range", _place(F.col(order).cast("double"), edges))
     counts = df.groupBy("__range").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
