@@ -616,11 +616,11 @@ class Graph:
         """A networkx graph on the driver, where that library is installed and the graph is small."""
         import networkx as nx
 
-        rows = self.edges.limit(LOCAL_ARCS + 1).collect()
-        if len(rows) > LOCAL_ARCS:
+        rows, nodes = (df.limit(LOCAL_ARCS + 1).collect() for df in (self.edges, self.nodes))
+        if max(len(rows), len(nodes)) > LOCAL_ARCS:
             raise ValueError("the graph is too large for the driver")
         g = nx.DiGraph() if any(r.directed for r in rows) else nx.Graph()
-        for r in self.nodes.collect():
+        for r in nodes:
             g.add_node(r.id, **{k: v for k, v in r.asDict().items() if k != "id"})
         for r in rows:
             props = {k: v for k, v in r.asDict().items() if k not in ("src", "dst", "directed")}

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of one SQLite batch; batches become files that the frame is read from.
+from tessera.plans.storage import cut
+
+#: Rows of one SQLite batch; full batches are written to shared storage, so that the driver holds one.
 BATCH = 50_000
 
 
@@ -60,8 +62,9 @@ def from_sqlite(spark: SparkSession, path: str, batch: int = BATCH) -> dict[str,
             parts, n = [], 0
             while chunk := rows.fetchmany(batch):
                 made = [tuple(_fit(v, f.dataType) for v, f in zip(r, schema.fields, strict=True)) + (str(n + k),) for k, r in enumerate(chunk)]
-                parts.append(spark.createDataFrame(made, T.StructType([*schema.fields, T.StructField("__n", T.StringType())])))
+                part = spark.createDataFrame(made, T.StructType([*schema.fields, T.StructField("__n", T.StringType())]))
                 n += len(chunk)
+                parts.append(cut(part) if len(chunk) == batch else part)
             df = parts[0] if parts else spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("__n", T.StringType())]))
             for p in parts[1:]:
                 df = df.union(p)
