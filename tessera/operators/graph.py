@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tessera.operators.collection import Collection
 from tessera.plans.storage import cut
 
+#: Pairs of source and node that searches from many sources hold at once; more go in batches of sources.
+SEARCH_PAIRS = 1_000_000_000
 #: Most arcs that an inherently sequential walk (depth-first order) may bring to the driver.
 LOCAL_ARCS = 2_000_000
 
@@ -445,12 +447,12 @@ class Graph:
 
     # ---- clustering -----------------------------------------------------------------------------
 
-    def triangles(self) -> DataFrame:
+    def triangles(self, pairs: DataFrame | None = None) -> DataFrame:
         """(a, b, c) with a < b < c, each once, directions aside.
 
         Arcs point from the node of lower degree, so a hub starts few wedges.
         """
-        p = self.pairs("both")
+        p = cut(self.pairs("both")) if pairs is None else pairs
         deg = p.groupBy("u").agg(F.count("*").alias("d"))
         e = p.where("u < v").join(deg.select("u", F.col("d").alias("du")), "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
         first = F.struct("du", "u") < F.struct(F.col("dv").alias("du"), F.col("v").alias("u"))
@@ -465,9 +467,9 @@ class Graph:
         with any directed edge the directed form, which ignores weights."""
         if not self.edges.where("directed").isEmpty():
             return self._directed_clustering()
-        p = self.pairs("both")
+        p = cut(self.pairs("both"))
         deg = p.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k"))
-        t = self.triangles()
+        t = self.triangles(p)
         if weight is None:
             t = t.withColumn("x", F.lit(1.0))
         else:
@@ -483,8 +485,8 @@ class Graph:
 
     def _directed_clustering(self) -> DataFrame:
         steps = self.pairs("out")
-        m = steps.union(steps.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg(F.count("*").alias("m"))
-        t = self.triangles()
+        m = cut(steps.union(steps.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg(F.count("*").alias("m")))
+        t = self.triangles(m.select("u", "v"))
         for a, b, w in (("a", "b", "m1"), ("a", "c", "m2"), ("b", "c", "m3")):
             t = t.join(m.select(F.col("u").alias(a), F.col("v").alias(b), F.col("m").alias(w)), [a, b])
         t = t.withColumn("x", 2 * F.col("m1") * F.col("m2") * F.col("m3"))
@@ -499,9 +501,10 @@ class Graph:
 
     def transitivity(self) -> float:
         """Three times the triangles over the wedges, directions aside."""
-        deg = self.pairs("both").groupBy("u").agg(F.count("*").alias("k"))
+        p = cut(self.pairs("both"))
+        deg = p.groupBy("u").agg(F.count("*").alias("k"))
         wedges = deg.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
-        return 3 * self.triangles().count() / wedges if wedges else 0.0
+        return 3 * self.triangles(p).count() / wedges if wedges else 0.0
 
     # ---- centrality -----------------------------------------------------------------------------
 
@@ -528,15 +531,34 @@ class Graph:
         return rank.select("id", "rank")
 
     def closeness_centrality(self, nodes: Any = None, distance: str | None = None, wf_improved: bool = True, direction: str = "in") -> DataFrame:
-        """(id, closeness) of ``nodes`` (all: as many searches as nodes, run together)."""
+        """(id, closeness) of ``nodes`` (all: as many searches as nodes, run together or in batches)."""
         n = self.number_of_nodes()
-        sources = self.nodes.select("id") if nodes is None else nodes
-        d = self.distances(sources, direction, None, distance)
-        s = d.groupBy("source").agg(F.count("*").alias("r"), F.sum("dist").alias("t"))
+        s = None
+        for sources in self._batches(nodes):
+            d = self.distances(sources, direction, None, distance)
+            part = cut(d.groupBy("source").agg(F.count("*").alias("r"), F.sum("dist").alias("t")))
+            s = part if s is None else s.union(part)
         score = (F.col("r") - 1) / F.col("t")
         score = score * (F.col("r") - 1) / max(1, n - 1) if wf_improved else score
         return s.select(F.col("source").alias("id"), F.when((F.col("t") > 0) & F.lit(n > 1), score).otherwise(0.0).alias("closeness"))
 
+    def _batches(self, sources: Any = None) -> list[DataFrame]:
+        """The sources of a search, in parts of SEARCH_PAIRS pairs with nodes at most."""
+        start = self.nodes.select("id") if sources is None else self._ids(sources)
+        parts = max(1, -(-start.count() * self.number_of_nodes() // SEARCH_PAIRS))
+        return [start] if parts == 1 else [start.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k) for k in range(parts)]
+
+    def _dependencies(self, sources: Any, keys: list[str], skip_source: bool) -> DataFrame | None:
+        """Sums of dependencies by ``keys`` (u, or u and v), each batch of sources summed before the next."""
+        total = None
+        for batch in self._batches(sources):
+            for c in self._brandes(batch):
+                part = (c.where("u <> source") if skip_source else c).groupBy(*keys).agg(F.sum("c").alias("b"))
+                total = part if total is None else total.union(part)
+            if total is not None:
+                total = cut(total.groupBy(*keys).agg(F.sum("b").alias("b")))
+        return total
+
     def _brandes(self, sources: Any = None) -> list[DataFrame]:
         """Dependencies (source, u, v, c) of each level's steps, for all sources at once.
 
@@ -567,27 +589,23 @@ class Graph:
 
     def betweenness_centrality(self, normalized: bool = True, sources: Any = None) -> DataFrame:
         """(id, betweenness) over outgoing and undirected edges, unweighted."""
-        total = None
-        for c in self._brandes(sources):
-            part = c.where("u <> source").groupBy(F.col("u").alias("id")).agg(F.sum("c").alias("b"))
-            total = part if total is None else total.union(part)
+        total = self._dependencies(sources, ["u"], True)
         n = self.number_of_nodes()
         scale = 1 / ((n - 1) * (n - 2)) if normalized and n > 2 else 1.0
         if total is None:
             return self.nodes.select("id", F.lit(0.0).alias("betweenness"))
-        total = total.groupBy("id").agg(F.sum("b").alias("b"))
+        total = total.select(F.col("u").alias("id"), "b")
         return self.nodes.select("id").join(total, "id", "left").select("id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
     def edge_betweenness_centrality(self, normalized: bool = True) -> DataFrame:
         """(src, kind, dst, betweenness); a pair with both kinds of edge counts for the directed one."""
-        parts = self._brandes()
+        total = self._dependencies(None, ["u", "v"], False)
         n, und = self.number_of_nodes(), not self.edges.where("not directed").isEmpty()
         arcs = self.arcs("out").groupBy("u", "v").agg(F.max("kind").alias("kind"))
-        total = parts[0].select("u", "v", "c") if parts else self.nodes.sparkSession.createDataFrame([], "u string, v string, c double")
-        for c in parts[1:]:
-            total = total.union(c.select("u", "v", "c"))
+        if total is None:
+            total = self.nodes.sparkSession.createDataFrame([], "u string, v string, b double")
         scale = (2.0 if und else 1.0) / (n * (n - 1)) if normalized and n > 1 else 1.0
-        named = total.groupBy("u", "v").agg(F.sum("c").alias("c")).join(arcs, ["u", "v"])
+        named = total.withColumnRenamed("b", "c").join(arcs, ["u", "v"])
         flip = (F.col("kind") == "-") & (F.col("u") > F.col("v"))
         named = named.select(F.when(flip, F.col("v")).otherwise(F.col("u")).alias("src"), "kind", F.when(flip, F.col("u")).otherwise(F.col("v")).alias("dst"), (F.col("c") * scale).alias("c"))
         return named.groupBy("src", "kind", "dst").agg(F.sum("c").alias("betweenness"))

@@ -148,3 +148,14 @@ def test_exchange_and_upkeep(spark, mini, tmp_path):
     assert col(broken.verify_index(), "src", "dst") == {("alice", "bob"), ("bob", "charlie")} and broken.reindex().number_of_edges() == 1
     tagged = Graph(mini.nodes, mini.edges.selectExpr("*", "if(src = 'bob', 'knows', 'likes') AS relation"))
     assert dict(col(tagged.boost_edge_weights("knows", 1.0).edges, "src", "weight"))["bob"] == 3.0
+
+
+def test_batches_of_sources_add_up(spark, monkeypatch):
+    from tessera.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e")], "src string, dst string")
+    g = graph.Graph.from_edges(edges)
+    found = lambda: [sorted(map(tuple, df.collect())) for df in (g.betweenness_centrality(), g.edge_betweenness_centrality(), g.closeness_centrality())]
+    whole = found()
+    monkeypatch.setattr(graph, "SEARCH_PAIRS", 9)
+    assert len(g._batches()) == 3 and found() == whole
