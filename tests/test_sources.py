@@ -66,6 +66,9 @@ def test_user_codec_and_backup(spark, tmp_path):
     writers.backup(coded, f"{tmp_path}/b", "zs")
     back = spark.read.parquet(f"{tmp_path}/b").select("_id", writers.decoded("v", lambda b: b.decode()[::-1]).alias("v"))
     assert {r._id: r.v for r in back.collect()} == {"a": "text", "b": None}
+    for other in ("xz", "bz", "z1", "z2"):
+        with pytest.raises(ValueError):
+            writers.backup(coded, f"{tmp_path}/no", other)
 
 
 class Role(enum.Enum):
