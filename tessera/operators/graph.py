@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import meeting
 from tessera.operators.collection import Collection
 from tessera.plans.storage import cut
 
@@ -77,6 +78,8 @@ class Graph:
 
     def pairs(self, direction: str = "both") -> DataFrame:
         """Distinct (u, v) steps."""
+        if direction == "both":
+            return _mirrored(self.edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct())
         return self.arcs(direction).select("u", "v").distinct()
 
     # ---- editing ----------------------------------------------------------------------------
@@ -191,11 +194,9 @@ class Graph:
 
     def common_counts(self) -> DataFrame:
         """(a, b, common, jaccard) of every pair of nodes that share a neighbour."""
-        p = self.pairs()
-        size = p.groupBy("u").agg(F.count("*").alias("n"))
-        both = p.alias("x").join(p.alias("y"), "v").where("x.u < y.u").groupBy(F.col("x.u").alias("a"), F.col("y.u").alias("b")).agg(F.count("*").alias("common"))
-        both = both.join(size.select(F.col("u").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("u").alias("b"), F.col("n").alias("nb")), "b")
-        return both.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
+        p = cut(self.pairs())
+        size = cut(p.groupBy("u").agg(F.count("*").alias("n")))
+        return meeting.common(p.join(size, "u").select("v", "u", F.col("n").cast("int").alias("n")), _blocks(size))
 
     def jaccard_coefficient(self, a: str, b: str) -> float:
         both = self.arcs("both").where(F.col("u").isin(a, b)).groupBy("v").agg(F.countDistinct("u").alias("n"))
@@ -680,3 +681,15 @@ def _spread(ids: DataFrame, arcs: DataFrame, both: bool = True) -> DataFrame:
         labels = fresh.drop("was")
         if not moved:
             return labels
+
+
+def _mirrored(edges: DataFrame) -> DataFrame:
+    """(u, v, ...) of each row and of its reverse."""
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return edges.select(ways.alias("way"), *rest).select("way.u", "way.v", *rest)
+
+
+def _blocks(sizes: DataFrame) -> int:
+    """Blocks of nodes that the pairs within lists of sizes ``n`` (and their members) are dealt to."""
+    return meeting.blocks(sizes, int(sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") + 1) / 2), F.lit(0.0))).first()[0]))

@@ -159,3 +159,47 @@ def test_batches_of_sources_add_up(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(graph, "SEARCH_PAIRS", 9)
     assert len(g._batches()) == 3 and found() == whole
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_that_meet_are_counted_without_being_shuffled(spark, monkeypatch):
+    from tessera.operators import meeting
+
+    rng = random.Random(5)
+    names = [f"n{k}" for k in range(60)] + ["é", "z" * 40, "10", "9"]
+    links = {tuple(sorted(rng.sample(names, 2))) for _ in range(500)} | {tuple(sorted(("hub", n))) for n in names}
+    g = graph(spark, [f"{a}-{b}" for a, b in links])
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for a, b in itertools.combinations(sorted(near, key=str.encode), 2):
+        if near[a] & near[b]:
+            want[a, b] = (len(near[a] & near[b]), len(near[a] & near[b]) / len(near[a] | near[b]))
+    found = lambda: {(r.a, r.b): (r.common, r.jaccard) for r in g.common_counts().collect()}
+    assert found() == want
+    monkeypatch.setattr(meeting, "PAIRS", 400)
+    monkeypatch.setattr(meeting, "STEP", 64)
+    assert found() == want
+    assert g.common_counts().count() == len(want)
+    # Pairs come out of the last task: no exchange or join stands above what makes them.
+    assert "Exchange" not in plan_of(g.common_counts()).split("MapInArrow")[0]
+    assert graph(spark, ["a-b"]).common_counts().count() == 0
+
+
+def test_a_task_with_more_pairs_than_it_sorts_at_once(spark, monkeypatch):
+    from tessera.operators import meeting
+
+    near = spark.createDataFrame([(v, f"u{k}", 9) for v, m in (("v", 30), ("w", 20), ("x", 1)) for k in range(m)], "v string, u string, n int")
+    batches = meeting._deal(near, 1, False).drop("task").toArrow().to_batches()
+    monkeypatch.setattr(meeting, "PAIRS", 50)
+    monkeypatch.setattr(meeting, "STEP", 16)
+    rows = [r for b in meeting._count(iter(batches)) for r in b.to_pylist()]
+    assert {(r["a"], r["b"]): r["common"] for r in rows} == {
+        (a, b): 1 + (int(a[1:]) < 20 and int(b[1:]) < 20) for a, b in itertools.combinations(sorted(f"u{k}" for k in range(30)), 2)
+    }
+    assert len(rows) == 435 and {r["jaccard"] for r in rows} == {1 / 17, 2 / 16}
