@@ -449,19 +449,20 @@ class Graph:
     # ---- clustering -----------------------------------------------------------------------------
 
     def triangles(self, pairs: DataFrame | None = None) -> DataFrame:
-        """(a, b, c) with a < b < c, each once, directions aside.
+        """(a, b, c) with a < b < c, each once, directions aside."""
+        return self._triangles(cut(self.pairs("both")) if pairs is None else pairs).select("a", "b", "c")
 
-        Arcs point from the node of lower degree, so a hub starts few wedges.
+    def _triangles(self, p: DataFrame) -> DataFrame:
+        """(a, b, c, w) with a < b < c of ``p`` (u, v), both ways; w is the product of the edges' ``w`` in ``p``, if any.
+
+        Arcs point from the node of lower degree, so a hub starts few wedges; wedges are closed where they are made.
         """
-        p = cut(self.pairs("both")) if pairs is None else pairs
         deg = p.groupBy("u").agg(F.count("*").alias("d"))
-        e = p.where("u < v").join(deg.select("u", F.col("d").alias("du")), "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
+        w = F.col("w").cast("double") if "w" in p.columns else F.lit(1.0)
+        e = p.where("u < v").withColumn("n", w).join(deg.select("u", F.col("d").alias("du")), "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
         first = F.struct("du", "u") < F.struct(F.col("dv").alias("du"), F.col("v").alias("u"))
-        o = e.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("s"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("t"))
-        wedge = o.alias("x").join(o.alias("y"), F.col("x.s") == F.col("y.s")).where("x.t < y.t").select(F.col("x.s").alias("s"), F.col("x.t").alias("b"), F.col("y.t").alias("c"))
-        closed = wedge.join(p.where("u < v").select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"])
-        t = F.array_sort(F.array("s", "b", "c"))
-        return closed.select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
+        o = cut(e.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("v"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("u"), "n"))
+        return meeting.triangles(o, _blocks(o.groupBy("v").agg(F.count("*").alias("n"))))
 
     def clustering(self, weight: str | None = None) -> DataFrame:
         """(id, clustering). Undirected graphs: closed share of neighbour pairs, or its weighted form;
@@ -485,17 +486,14 @@ class Graph:
         return out.select("id", F.coalesce(value, F.lit(0.0)).alias("clustering"))
 
     def _directed_clustering(self) -> DataFrame:
-        steps = self.pairs("out")
-        m = cut(steps.union(steps.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy("u", "v").agg(F.count("*").alias("m")))
-        t = self.triangles(m.select("u", "v"))
-        for a, b, w in (("a", "b", "m1"), ("a", "c", "m2"), ("b", "c", "m3")):
-            t = t.join(m.select(F.col("u").alias(a), F.col("v").alias(b), F.col("m").alias(w)), [a, b])
-        t = t.withColumn("x", 2 * F.col("m1") * F.col("m2") * F.col("m3"))
+        steps = self.pairs("out").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count("*").alias("w"))
+        m = cut(_mirrored(steps))
+        t = self._triangles(m).withColumn("x", 2 * F.col("w"))
         at = t.select(F.explode(F.array("a", "b", "c")).alias("id"), "x").groupBy("id").agg(F.sum("x").alias("x"))
-        deg = m.groupBy(F.col("u").alias("id")).agg(F.sum("m").alias("d"), F.count_if(F.col("m") == 2).alias("r"))
+        deg = m.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("d"), F.count_if(F.col("w") == 2).alias("r"))
         out = self.nodes.select("id").join(deg, "id", "left").join(at, "id", "left")
         room = 2.0 * (F.col("d") * (F.col("d") - 1) - 2 * F.col("r"))
-        return out.select("id", F.coalesce(F.when(room > 0, F.coalesce("x", F.lit(0)) / room), F.lit(0.0)).alias("clustering"))
+        return out.select("id", F.coalesce(F.when(room > 0, F.coalesce("x", F.lit(0.0)) / room), F.lit(0.0)).alias("clustering"))
 
     def average_clustering(self, weight: str | None = None) -> float:
         return self.clustering(weight).agg(F.avg("clustering")).first()[0] or 0.0

@@ -203,3 +203,32 @@ def test_a_task_with_more_pairs_than_it_sorts_at_once(spark, monkeypatch):
         (a, b): 1 + (int(a[1:]) < 20 and int(b[1:]) < 20) for a, b in itertools.combinations(sorted(f"u{k}" for k in range(30)), 2)
     }
     assert len(rows) == 435 and {r["jaccard"] for r in rows} == {1 / 17, 2 / 16}
+
+
+def joins(df):
+    return len([line for line in plan_of(df).split("Initial Plan")[0].splitlines() if "Join" in line])
+
+
+@pytest.fixture(scope="module")
+def woven(spark):
+    """Random edges of both kinds: (src, kind, dst) and the graph."""
+    rng = random.Random(11)
+    names = [f"n{k}" for k in range(40)] + ["é", "10", "9"]
+    edges = {tuple(rng.sample(names, 2)) for _ in range(380)} | {("hub", n) for n in names}
+    return edges, graph(spark, [f"{a}>{b}" for a, b in edges])
+
+
+def test_directed_triangles_carry_their_multiplicities(woven):
+    edges, g = woven
+    m = {}
+    for a, b in edges:
+        m[a, b] = m.get((a, b), 0) + 1
+        m[b, a] = m.get((b, a), 0) + 1
+    want = {}
+    for n in {a for a, _ in m}:
+        near = [b for a, b in m if a == n]
+        closed = sum(m[n, x] * m[n, y] * m[x, y] for x, y in itertools.permutations(near, 2) if (x, y) in m)
+        d = sum(m[n, x] for x in near)
+        want[n] = closed / (2 * (d * (d - 1) - 2 * sum(m[n, x] == 2 for x in near)))
+    assert dict(col(g.clustering(), "id", "clustering")) == pytest.approx(want)
+    assert joins(g.clustering()) == 2  # nodes with degrees and sums; none on triangles
