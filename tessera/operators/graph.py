@@ -469,18 +469,14 @@ class Graph:
         with any directed edge the directed form, which ignores weights."""
         if not self.edges.where("directed").isEmpty():
             return self._directed_clustering()
-        p = cut(self.pairs("both"))
-        deg = p.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k"))
-        t = self.triangles(p)
         if weight is None:
-            t = t.withColumn("x", F.lit(1.0))
+            p, x = cut(self.pairs("both")), F.lit(1.0)
         else:
-            e = self.edges.select("src", "dst", F.coalesce(F.col(weight).cast("double"), F.lit(1.0)).alias("w"))
+            e = cut(self.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.coalesce(F.col(weight).cast("double"), F.lit(1.0)).alias("w")))
             top = e.agg(F.max("w")).first()[0] or 1.0
-            for a, b, w in (("a", "b", "w1"), ("a", "c", "w2"), ("b", "c", "w3")):
-                t = t.join(e.select(F.col("src").alias(a), F.col("dst").alias(b), (F.col("w") / (top if top > 0 else 1.0)).alias(w)), [a, b])
-            t = t.withColumn("x", F.cbrt(F.col("w1") * F.col("w2") * F.col("w3")))
-        at = t.select(F.explode(F.array("a", "b", "c")).alias("id"), "x").groupBy("id").agg(F.sum("x").alias("x"))
+            p, x = _mirrored(e.withColumn("w", F.col("w") / (top if top > 0 else 1.0))), F.cbrt("w")
+        deg = p.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("k"))
+        at = self._triangles(p).select(F.explode(F.array("a", "b", "c")).alias("id"), x.alias("x")).groupBy("id").agg(F.sum("x").alias("x"))
         out = self.nodes.select("id").join(deg, "id", "left").join(at, "id", "left")
         value = F.when(F.col("k") > 1, 2 * F.coalesce("x", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
         return out.select("id", F.coalesce(value, F.lit(0.0)).alias("clustering"))

@@ -232,3 +232,29 @@ def test_directed_triangles_carry_their_multiplicities(woven):
         want[n] = closed / (2 * (d * (d - 1) - 2 * sum(m[n, x] == 2 for x in near)))
     assert dict(col(g.clustering(), "id", "clustering")) == pytest.approx(want)
     assert joins(g.clustering()) == 2  # nodes with degrees and sums; none on triangles
+
+
+@pytest.fixture(scope="module")
+def plain(spark, woven):
+    """The same pairs without directions, weighted, and their neighbour sets."""
+    weight = {tuple(sorted(e)): 1.0 + len("".join(e)) for e in woven[0]}
+    near = {}
+    for a, b in weight:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return weight, near, graph(spark, [f"{a}-{b}:{w}" for (a, b), w in weight.items()])
+
+
+def test_triangles_are_closed_where_wedges_are_made(plain, monkeypatch):
+    from tessera.operators import meeting
+
+    weight, near, g = plain
+    w = lambda *e: weight[tuple(sorted(e))] / max(weight.values())
+    share = {n: [(x, y) for x, y in itertools.combinations(s, 2) if y in near[x]] for n, s in near.items()}
+    room = {n: len(s) * (len(s) - 1) / 2 for n, s in near.items()}
+    for _ in range(2):
+        assert dict(col(g.clustering(), "id", "clustering")) == pytest.approx({n: len(t) / room[n] for n, t in share.items()})
+        weighted = {n: sum((w(n, x) * w(n, y) * w(x, y)) ** (1 / 3) for x, y in t) / room[n] for n, t in share.items()}
+        assert dict(col(g.clustering("weight"), "id", "clustering")) == pytest.approx(weighted)
+        monkeypatch.setattr(meeting, "PAIRS", 300)
+    assert joins(g.clustering()) == joins(g.clustering("weight")) == 2
