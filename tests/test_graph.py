@@ -258,3 +258,13 @@ def test_triangles_are_closed_where_wedges_are_made(plain, monkeypatch):
         assert dict(col(g.clustering("weight"), "id", "clustering")) == pytest.approx(weighted)
         monkeypatch.setattr(meeting, "PAIRS", 300)
     assert joins(g.clustering()) == joins(g.clustering("weight")) == 2
+
+
+def test_transitivity_shuffles_no_wedges(spark, plain):
+    _, near, g = plain
+    found = {tuple(sorted((a, b, c), key=str.encode)) for a in near for b, c in itertools.combinations(near[a], 2) if c in near[b]}
+    rows = g.triangles().collect()
+    assert {tuple(r) for r in rows} == found and len(rows) == len(found)
+    assert g.transitivity() == pytest.approx(3 * len(found) / sum(len(s) * (len(s) - 1) / 2 for s in near.values()))
+    assert "Exchange" not in plan_of(g.triangles()).split("MapInArrow")[0]
+    assert graph(spark, ["a-b", "c-d"]).transitivity() == 0.0
