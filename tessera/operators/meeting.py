@@ -45,7 +45,8 @@ def triangles(near: DataFrame, k: int) -> DataFrame:
 def _deal(near: DataFrame, k: int, edges: bool) -> DataFrame:
     """(v, x, xn, y, yn, kind): parts of lists, each partition having those of one pair of blocks."""
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    lists = near.repartition("v").groupBy("v", block("u").alias("i")).agg(F.collect_list(F.struct("u", "n")).alias("s"))
+    tasks = k * (k + 1) // 2  # of both sides: what a task sends is then held in memory, not spilled
+    lists = near.repartition(tasks, "v").groupBy("v", block("u").alias("i")).agg(F.collect_list(F.struct("u", "n")).alias("s"))
     lists = lists.groupBy("v").agg(F.collect_list(F.struct("i", F.col("s.u").alias("u"), F.col("s.n").alias("n"))).alias("parts"))
     x = lists.select("v", "parts", F.explode("parts").alias("x"))
     others = F.filter("parts", lambda y: y["i"] >= F.col("x.i"))
@@ -65,7 +66,7 @@ def _deal(near: DataFrame, k: int, edges: bool) -> DataFrame:
         apart("y.n").alias("yn"),
         "kind",
     )
-    return rows.repartitionById(k * (k + 1) // 2, "task").drop("task")
+    return rows.repartitionById(tasks, "task").drop("task")
 
 
 class _Lists:
